@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "phrase_automata", "suffix_dedup", "near_dedup", "packing", "quality", "pii"]
+MODULES = ["decontaminate", "phrase_automata", "suffix_dedup", "near_dedup", "line_dedup", "packing", "quality", "pii"]
 
 
 def queries() -> dict:

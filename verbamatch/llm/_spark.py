@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NO_ID = 1 << 62
+
+
+def node() -> Column:
+    """The doc_id, or for a null one a number of the text above all ids, so that it sorts last."""
+    text = F.col("text").cast("string")
+    unnamed = F.lit(NO_ID).bitwiseOR(F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit(NO_ID - 1)))
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+
+
+def as_id(column: str) -> Column:
+    """A node as a doc_id: null where it stands for none."""
+    return F.when(F.col(column) < NO_ID, F.col(column))

@@ -36,14 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import fresh, materialise, table
+from ._spark import as_id, fresh, materialise, node, table
 from ._text import U64, WORD_SQL, Words, chunks, grams, mix, within, words
 
 SHINGLE = 3
 SIZE = 128
 BANDS = 32
 THRESHOLD = 0.6
-NO_ID = 1 << 62
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +118,7 @@ def content(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(node, text): the doc_id, or for a null one a number of the text above all ids."""
-    text = F.col("text").cast("string")
-    unnamed = F.lit(NO_ID).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("node"), text.alias("text"))
+    return docs.select(node().alias("node"), F.col("text").cast("string").alias("text"))
 
 
 def sketches(own: DataFrame) -> DataFrame:
@@ -230,18 +226,15 @@ def group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id): every document that has a near copy, with the doc_id that stays of its group."""
     out = group(docs, threshold)
-    return out.select(*(F.when(F.col(c) < NO_ID, F.col(c)).alias(name) for c, name in (("node", "doc_id"), ("root", "group_id"))))
+    return out.select(as_id("node").alias("doc_id"), as_id("root").alias("group_id"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without the later ones of each group, and with one row for each document."""
     gone = materialise(group(docs, threshold).filter("node <> root").select("node"), "gone")
-    node, rank = fresh(docs, "node_"), fresh(docs, "rank_")
-    text = F.col("text").cast("string")
-    unnamed = F.lit(NO_ID).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)))
-    wide = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    left = wide.join(gone.withColumnRenamed("node", node), node, "left_anti")
-    one = Window.partitionBy(node).orderBy(F.col("text").asc_nulls_first())
+    own, rank = fresh(docs, "node_"), fresh(docs, "rank_")
+    left = docs.withColumn(own, node()).join(gone.withColumnRenamed("node", own), own, "left_anti")
+    one = Window.partitionBy(own).orderBy(F.col("text").asc_nulls_first())
     return left.withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).select(*docs.columns)
 
 
