@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "phrase_automata", "suffix_dedup", "near_dedup", "line_dedup", "packing", "quality", "pii"]
+MODULES = ["suffix_tree_lm", "decontaminate", "phrase_automata", "token_store", "line_dedup", "quality", "suffix_dedup", "pii", "near_dedup", "packing"]
 
 
 def queries() -> dict:
