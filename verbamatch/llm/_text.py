@@ -120,10 +120,10 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def prefix_hash(self, which: np.ndarray, length: int) -> np.ndarray:
-        """Hash of the first `length` bytes of the words `which` (each at least as long)."""
+        """Hash of the first `length` bytes of the words `which` (each longer), other than that of a whole word."""
         _, inv = powers(len(self.sums))
         s = self.start[which]
-        return mix((self.sums[s + length] - self.sums[s]) * inv[s] + U64(length))
+        return mix((self.sums[s + length] - self.sums[s]) * inv[s] + U64((1 << 32) + length))
 
 
 def words(raw: np.ndarray, offs: np.ndarray) -> Words:

@@ -99,12 +99,12 @@ def occurrences(passages: list[tuple[int, int, int]], size: np.ndarray, m: np.nd
     return first, last
 
 
-def find_recurring(docs: DataFrame) -> DataFrame:
+def find_recurring(docs: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """(doc_id, start_word, end_word): maximal word ranges covered by recurring passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: tuple[np.ndarray, ...] | None = None
-        for part, goes_on in groups(batches, SLICE):
+        for part, goes_on in groups(batches, slice_rows):
             rows = matrix(part)
             if goes_on and carried is not None:
                 rows = tuple(np.concatenate([a, b]) for a, b in zip(carried, rows))

@@ -157,19 +157,19 @@ def _phrases(text: str) -> Rewritten | None:
         units = list(_UNIT.finditer(text, m.start(), m.end()))
         if sum(u.group().lower() in WORD_DIGIT for u in units) < 3:
             continue
-        last, times = m.start(), 1
+        last, times, begin = m.start(), 1, None
         for u in units:
             word = u.group().lower()
+            if begin is None:
+                begin = u.start()
+                if last < begin:
+                    edits.append((last, begin, ""))
             if word in TIMES:
                 times = TIMES[word]
-                edits.append((last, u.end(), ""))
-            else:
-                digit = word if word.isdigit() else str(WORD_DIGIT[word])
-                if last < u.start():
-                    edits.append((last, u.start(), ""))
-                edits.append((u.start(), u.end(), digit * times))
-                times = 1
-            last = u.end()
+                continue
+            digit = word if word.isdigit() else str(WORD_DIGIT[word])
+            edits.append((begin, u.end(), digit * times))
+            last, times, begin = u.end(), 1, None
     if not edits:
         return None
     edits.sort()

@@ -131,12 +131,12 @@ def later_copies(h, doc, pos, back, size, m) -> tuple[np.ndarray, np.ndarray, np
     return np.where(last > 0, first, -1), last, (starts & ~seen).any(1)
 
 
-def find_copies(docs: DataFrame) -> DataFrame:
+def find_copies(docs: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """(doc_id, start_word, end_word): maximal word ranges covered by later copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: tuple[np.ndarray, ...] | None = None
-        for part, goes_on in groups(batches, SLICE):
+        for part, goes_on in groups(batches, slice_rows):
             rows = matrix(part)
             old = 0
             if goes_on and carried is not None:

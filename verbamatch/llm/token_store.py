@@ -13,7 +13,7 @@ Texts are tokenized once: (address, bytes, reference) rows are grouped by addres
 shuffle, and a sorted pass writes chunks and references to the store in one go.
 
 Pre-tokens follow the vocabulary's pattern with numpy over character classes; each
-distinct pre-token is encoded once per task.  Texts with an apostrophe, where the
+distinct pre-token is encoded once per worker.  Texts with an apostrophe, where the
 pattern has contractions, are encoded as a whole; ids are the same either way.
 
 Defined results: null and empty texts have no chunks and the root of nothing (SHA-256 of
@@ -96,7 +96,7 @@ def pretokens(code: np.ndarray) -> np.ndarray:
 class Tokenizer:
     """Ids of texts, with a memory of pre-tokens."""
 
-    MEMORY = 1 << 20
+    MEMORY = 1 << 19
 
     def __init__(self, path: str):
         self.encoding = encoding(path)
@@ -146,6 +146,12 @@ class Tokenizer:
         return ids, out
 
 
+@lru_cache(2)
+def tokenizer(path: str) -> Tokenizer:
+    """One for each Python worker: its memory serves all tasks that the worker runs."""
+    return Tokenizer(path)
+
+
 def cut_points(ids: np.ndarray) -> np.ndarray:
     """Ends of the chunks of one id stream."""
     n = len(ids)
@@ -182,10 +188,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Non
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, sent = Tokenizer(vocabulary), set()
+        own_tokenizer, sent = tokenizer(vocabulary), set()
         for batch in batches:
             for lo, hi, raw, offs in chunks(batch.column(2)):
-                ids, cut = tokenizer.many(raw, offs)
+                ids, cut = own_tokenizer.many(raw, offs)
                 row, number, address, data = [], [], [], []
                 for k in range(hi - lo):
                     part = ids[cut[k] : cut[k + 1]]
