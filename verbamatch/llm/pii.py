@@ -10,8 +10,9 @@ span it came from:
    double and triple) become digits.
 
 Identifiers are detected in the rewritten text and their spans mapped back.  A text
-goes through this only if it holds a digit, an @, a character beyond Latin-1 or one of
-the trigger words; without any of these no identifier can arise, so nothing is lost.
+goes through this only if it holds a digit, an @, a character beyond Latin-1, one of the
+trigger words, or an at word along with a dot inside a word; without any of these no
+identifier can arise, so nothing is lost.
 
 Defined results: null and empty texts hold nothing; overlapping findings keep the
 leftmost, then the longest, then the first kind in KINDS; repeated rows each report;
@@ -227,12 +228,14 @@ _TRIGGER[0xC4:] = True
 
 
 @lru_cache(1)
-def _trigger_words() -> tuple[np.ndarray, np.ndarray]:
-    def hashes(names: list[str]) -> np.ndarray:
+def _trigger_words() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+    def listed(names: list[str]):
         raw = np.frombuffer(" ".join(names).encode(), np.uint8)
-        return np.sort(words(raw, np.array([0, len(raw)])).hash)
+        return words(raw, np.array([0, len(raw)]))
 
-    return hashes([*WORD_DIGIT, *TIMES]), hashes("dot punto ponto punkt point password passwd pwd token secret api key begin".split())
+    digits = np.sort(listed([*WORD_DIGIT, *TIMES]).hash)
+    names = np.sort(listed("dot punto ponto punkt point password passwd pwd token secret api key apikey begin".split()).hash)
+    return digits, names, np.sort(listed(["at", "arroba"]).hash), listed(["akia" + 16 * "x"]).prefix_hash(np.array([0]), 4)[0]
 
 
 def _isin(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -250,9 +253,17 @@ def suspects(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     hit[np.searchsorted(offs, soft, "right") - 1] = True
     w = words(raw, offs)
     if len(w.hash):
-        digits, names = _trigger_words()
+        digits, names, at_words, akia = _trigger_words()
         doc = w.doc
         hit[doc[_isin(w.hash, names)]] = True
+        tight = np.flatnonzero((w.start[1:] == w.end[:-1] + 1) & (raw[w.end[:-1]] == 46))
+        dotted = np.zeros(n, bool)
+        dotted[doc[tight]] = True
+        with_at = np.zeros(n, bool)
+        with_at[doc[_isin(w.hash, at_words)]] = True
+        hit |= dotted & with_at
+        long = np.flatnonzero(w.end - w.start >= 20)
+        hit[doc[long[w.prefix_hash(long, 4) == akia]]] = True
         d = _isin(w.hash, digits)
         run = np.flatnonzero(d[:-2] & d[1:-1] & d[2:])
         hit[doc[run[doc[run] == doc[run + 2]]]] = True
