@@ -37,6 +37,10 @@ def prepared(x: str) -> str:
     return f"array_to_string({kept_tokens(tokens(cleaned(x)))}, ' ')"
 
 
+def single_spaced(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
 def sounds(x: str) -> str:
     out = f"lower({folded(x)})"
     for pair, sound in _SOUNDS:
