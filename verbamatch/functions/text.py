@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Real and badly escaped control characters; the longer forms come first.
 CONTROL = "|".join([r"\\r\\n", r"\\rn", r"\\r", r"\\n", r"\\t", "\r\n", "\r", "\n", "\t"])
 WHITE = r"(?U)[\s\x1c-\x1f]+"
+# Word characters as Python's re has them: Java's \\w would leave out fractions and take in accents that stand alone.
+WORD = r"\p{L}\p{N}_"
 _ARTICLES = {"o": "o", "a": "a", "os": "os", "as": "as"}
 _INDEFINITE = {"um": "um", "uma": "uma", "uns": "uns", "umas": "umas"}
 
@@ -103,7 +105,7 @@ def clean(col: Column, accents: bool = True, contracted: bool = True, punctuatio
 
 def tokenize(col: Column) -> Column:
     """Tags in angle brackets, and runs of word characters and hyphens."""
-    return F.regexp_extract_all(col, F.lit(r"(?U)(<[^>]+>|[\w\-]+)"), F.lit(1))
+    return F.regexp_extract_all(col, F.lit(rf"(<[^>]+>|[{WORD}\-]+)"), F.lit(1))
 
 
 def drop_stopwords(tokens: Column, use_default: bool = True, custom: Iterable[str] = ()) -> Column:
@@ -141,7 +143,7 @@ def phonetic(col: Column) -> Column:
 
 def terms(col: Column) -> Column:
     """Words of two characters or more, and pairs of neighbouring ones, as TF-IDF counts them."""
-    words = F.regexp_extract_all(F.lower(col), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(col), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
