@@ -76,12 +76,17 @@ def strip_accents(col: Column) -> Column:
     are looked up character by character, in the rare texts that have one.
     """
     one, to, many = folds()
-    ranges = "".join(f"\\x{{{ord(c):x}}}" for c in many)
     lookup = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
-    spelled = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(lookup[c], c)), "")
-    full = F.when(col.rlike(f"[{ranges}]"), spelled).otherwise(col)
-    folded = F.regexp_replace(F.translate(full, one, to), r"[^\x00-\x7F]", "")
-    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
+
+    def fold(t: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(lookup[c], c)), "")
+        # A translate looks characters up by hash; a regular expression would try hundreds of them in turn.
+        full = F.when(F.translate(t, "".join(many), "") != t, spelled).otherwise(t)
+        folded = F.regexp_replace(F.translate(full, one, to), r"[^\x00-\x7F]", "")
+        return F.when(t.rlike(r"[^\x00-\x7F]"), folded).otherwise(t)
+
+    # The lambda binds the text, so that what leads to it stands and runs once instead of at each use.
+    return F.transform(F.array(col), fold)[0]
 
 
 def expand_contractions(col: Column) -> Column:

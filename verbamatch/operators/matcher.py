@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import asyncio
-import tempfile
 from collections.abc import Iterable
 from datetime import date
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import similarity
 from ..functions.encoders import dot, encode, unload
+from ..sources.shared import shared_dir
 from . import fusion, index
 from .pipeline import prepared
 
@@ -20,12 +20,8 @@ STRATEGIES = ("vectorized", "parallel")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir (one of our own where that is unset, as in tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        path = "file://" + tempfile.mkdtemp(prefix="verbamatch-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+    """df computed once, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

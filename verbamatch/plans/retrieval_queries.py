@@ -11,7 +11,8 @@ from ..functions.text import terms
 from ..operators import index
 from ..operators.matcher import Matcher
 from ..operators.pipeline import prepared
-from ..sources.tables import benchmark, documents, scratch, table
+from ..sources.shared import scratch
+from ..sources.tables import benchmark, documents, table
 from ..streaming.matching import match_stream
 from . import sql
 

@@ -13,7 +13,8 @@ from ..config import MatchConfig
 from ..functions import entities, text
 from ..operators.pipeline import prepared
 from ..sources.catalog import preprocess_catalog
-from ..sources.tables import documents, scratch, table
+from ..sources.shared import scratch
+from ..sources.tables import documents, table
 from . import sql
 
 AS_OF = date(2024, 4, 25)

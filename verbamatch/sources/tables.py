@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +34,3 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b): all ordered pairs of distinct part names."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     return names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b")))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="verbamatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
