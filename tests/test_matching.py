@@ -53,12 +53,14 @@ def test_tags_take_the_first_of_overlapping_matches(spark):
 
 
 def test_extracted_spans_and_custom_extractor(spark):
-    entities.registry.register("shout", lambda t, today: [entities.Entity("shout", m.group(), *m.span(), m.group()) for m in entities.re.finditer(r"[A-Z]{3,}", t)])
+    own = entities.Registry()
+    own.register("shout", lambda t, today: [entities.Entity("shout", m.group(), *m.span(), m.group()) for m in entities.re.finditer(r"[A-Z]{3,}", t)])
     df = spark.createDataFrame([("say HELLO 7",)], "t string")
-    got = df.select(entities.extract(F.col("t"), ["shout", "number"], TODAY).alias("e")).first().e
+    got = df.select(entities.extract(F.col("t"), ["shout", "number"], TODAY, own).alias("e")).first().e
     assert [(e.entity_type, e.value, e.start, e.end, e.text_matched) for e in got] == [("shout", "HELLO", 4, 9, "HELLO"), ("number", "7", 10, 11, "7")]
     with pytest.raises(ValueError):
-        entities.registry.get("none such")
+        own.get("none such")
+    assert "shout" not in entities.registry.available()
 
 
 # --- pairs ---

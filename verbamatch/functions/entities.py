@@ -155,9 +155,9 @@ def collapse_models(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)\b([A-Za-z]{2,4})\s+((?=[A-Za-z\d]*\d)[A-Za-z\d]+(?:-[A-Za-z\d]+)*)\b", "$1$2")
 
 
-def extract(col: Column, names: Iterable[str] | None = None, as_of: date | None = None) -> Column:
+def extract(col: Column, names: Iterable[str] | None = None, as_of: date | None = None, known: Registry = registry) -> Column:
     """Array of MATCHES of each text. Dates relative to today resolve against `as_of`."""
-    extractors, today = registry.choose(names), as_of or date.today()
+    extractors, today = known.choose(names), as_of or date.today()
 
     @F.pandas_udf(MATCHES)
     def run(texts: pd.Series) -> pd.Series:
@@ -166,9 +166,9 @@ def extract(col: Column, names: Iterable[str] | None = None, as_of: date | None
     return run(col)
 
 
-def tag(col: Column, names: Iterable[str] | None = None, as_of: date | None = None) -> Column:
+def tag(col: Column, names: Iterable[str] | None = None, as_of: date | None = None, known: Registry = registry) -> Column:
     """Text with spaced models joined and entities replaced by tags."""
-    extractors, today = registry.choose(names), as_of or date.today()
+    extractors, today = known.choose(names), as_of or date.today()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

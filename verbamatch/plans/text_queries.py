@@ -87,8 +87,8 @@ def collapse_model_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", entities.collapse_models(F.col("text")).alias("collapsed"))
 
 
-def _extracted(rows: DataFrame, names: Iterable[str] | None) -> DataFrame:
-    found = rows.select("doc_id", F.explode(entities.extract(F.col("text"), names, AS_OF)).alias("e"))
+def _extracted(rows: DataFrame, names: Iterable[str], known: entities.Registry = entities.registry) -> DataFrame:
+    found = rows.select("doc_id", F.explode(entities.extract(F.col("text"), names, AS_OF, known)).alias("e"))
     return found.groupBy("doc_id", F.col("e.entity_type").alias("entity_type"), F.col("e.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -104,9 +104,10 @@ def _handles(text: str, today: date) -> Iterable[entities.Entity]:
 
 
 def custom_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user-defined extractor beside the built-in ones."""
-    entities.registry.register("handle", _handles)
-    return _extracted(_texts(spark, sf_dir), ["handle"])
+    """A user-defined extractor, in a registry of its own so that it stays out of other queries."""
+    own = entities.Registry()
+    own.register("handle", _handles)
+    return _extracted(_texts(spark, sf_dir), ["handle"], own)
 
 
 def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
