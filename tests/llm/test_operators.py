@@ -111,6 +111,38 @@ def test_suffix_tree_prefers_its_own_language(spark):
     assert own < 3 < noise
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4, 7])
+def test_corpus_scores_follow_the_whole_tree(spark, depth, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "SHARD_ROWS", 50)
+    monkeypatch.setattr(suffix_tree_lm, "GROUP_BYTES", 4000)
+    rng = random.Random(depth)
+    texts = [prose(rng, rng.randint(0, 120)) for _ in range(30)] + [None, "", "x" * 1500, "żółw", "one two", "one two"]
+    total = sum(len((t or "").encode()) for t in texts)
+    kept, naive = naive_tree(texts, depth, 1.5 / total, 0.5)
+    # naive_tree keeps a context of one symbol only by its test.
+    assert all(bytes([x]) in kept for t in texts if t for x in set(t.encode()[:-1]) if sum((u or "").encode().count(x) for u in texts) > 9)
+    got = suffix_tree_lm.score_corpus(frame(spark, list(enumerate(texts))), depth, 2, 0.5).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
+        t = texts[r.doc_id] or ""
+        assert r.log2_prob == pytest.approx(naive(t), abs=0.02, rel=1e-4)
+        assert r.n_bytes == len(t.encode()) and (r.bits_per_byte is None) == (not t)
+
+
+def test_rare_sources_keep_their_contexts(spark):
+    rng = random.Random(5)
+    rare = "".join(rng.choices("qzxwvkjy", k=60))
+    texts = [prose(rng, 4000) for _ in range(100)]
+    got = {n: {r.doc_id: r.bits_per_byte for r in suffix_tree_lm.score_corpus(frame(spark, list(enumerate(texts[:n] + [rare] * 3, -n)))).collect()}[0] for n in (5, 100)}
+    # Twenty times as much other text doesn't take away what is known of the rare one.
+    assert got[100] < 3 and got[100] < got[5] + 0.5
+
+
+def test_corpus_scores_of_nothing(spark):
+    assert suffix_tree_lm.score_corpus(frame(spark, [])).count() == 0
+    assert [tuple(r) for r in suffix_tree_lm.score_corpus(frame(spark, [(None, None)])).collect()] == [(None, 0, 0.0, None)]
+
+
 # --- 2 decontamination ---
 
 
