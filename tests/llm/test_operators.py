@@ -472,6 +472,23 @@ def test_pii_scan_equals_detection_on_every_text(spark):
     assert got == sorted(want, key=str)
 
 
+BRACKETED = ["Write to john [at] example[.]com soon", "mail john at example[.]com today", "john (at) example (.) com", "john at example{ . }com", "john arroba example<.>org", "a_b at -c-.com"]
+
+
+@pytest.mark.parametrize("text", BRACKETED)
+def test_pii_scan_reaches_bracketed_full_stops(text):
+    assert pii.detect(text) and list(pii.suspects(*strings(pa.array(["plain words.", text, "met at noon", None])))) == [1]
+
+
+def test_pii_scan_equals_detection_on_disguises(spark):
+    rng = random.Random(15)
+    at, dot = [" at ", " [at] ", "(arroba)", " < AT >", "{at}"], [".", "[.]", " (.) ", "{ . }", "<.>", " dot ", "[dot]", "(punto)"]
+    rows = [(i, f"{prose(rng, 5)} ana{rng.choice(at)}example{rng.choice(dot)}com {prose(rng, 5)}") for i in range(200)]
+    got = tuples(pii.find_pii(frame(spark, rows)), "doc_id", "kind", "start", "end", "found", "value")
+    want = [(d, k, a, b, t[a:b], v) for d, t in rows for k, a, b, v in pii.detect(t)]
+    assert got == sorted(want, key=str) and len(want) >= 200
+
+
 # --- 9 near duplicates ---
 
 

@@ -11,7 +11,7 @@ span it came from:
 
 Identifiers are detected in the rewritten text and their spans mapped back.  A text
 goes through this only if it holds a digit, an @, a character beyond Latin-1, one of the
-trigger words, or an at word along with a dot inside a word; without any of these no
+trigger words, or an at word along with a full stop anywhere; without any of these no
 identifier can arise, so nothing is lost.
 
 Defined results: null and empty texts hold nothing; overlapping findings keep the
@@ -256,9 +256,9 @@ def suspects(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         digits, names, at_words, akia = _trigger_words()
         doc = w.doc
         hit[doc[_isin(w.hash, names)]] = True
-        tight = np.flatnonzero((w.start[1:] == w.end[:-1] + 1) & (raw[w.end[:-1]] == 46))
+        # Any full stop counts: DOT also takes it in brackets, with white space around it.
         dotted = np.zeros(n, bool)
-        dotted[doc[tight]] = True
+        dotted[np.searchsorted(offs, np.flatnonzero(raw == 46), "right") - 1] = True
         with_at = np.zeros(n, bool)
         with_at[doc[_isin(w.hash, at_words)]] = True
         hit |= dotted & with_at
