@@ -297,6 +297,31 @@ def test_damage_is_noticed(spark, tmp_path):
     assert sorted(r.verified for r in token_store.manifests(spark, bad).collect()) == [False, True]
 
 
+def test_damage_to_recipes_is_noticed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    path = str(tmp_path / "store")
+    token_store.write_store(frame(spark, [(0, prose(rng, 900)), (1, prose(rng, 900)), (None, prose(rng, 900)), (2, "")]), path)
+    rows = spark.read.schema(token_store.SCHEMA).parquet(path)
+    assert all(r.verified for r in token_store.manifests(spark, path).collect())
+    zero = (F.col("kind") == "reference") & (F.col("doc_id") == 0)
+    last = rows.filter(zero).agg(F.max("number")).first()[0]
+    assert last >= 2
+    swapped = F.when(zero & (F.col("number") < 2), 1 - F.col("number")).otherwise(F.col("number"))
+    damaged = {
+        "dropped": rows.filter(F.coalesce(~(zero & (F.col("number") == last)), F.lit(True))),
+        "doubled": rows.union(rows.filter(zero & (F.col("number") == 0))),
+        "swapped": rows.withColumn("number", F.coalesce(swapped, "number")),
+        "all lost": rows.filter(F.coalesce(~zero, F.lit(True))),
+        "no manifest": rows.filter(F.coalesce(~((F.col("kind") == "manifest") & (F.col("doc_id") == 0)), F.lit(True))),
+    }
+    for name, bad in damaged.items():
+        bad.write.partitionBy("kind").parquet(str(tmp_path / name))
+        got = {r.doc_id: r.verified for r in token_store.manifests(spark, str(tmp_path / name)).collect()}
+        assert got == {0: False, 1: True, 2: True, None: True}, name
+
+
 # --- 5 lines ---
 
 

@@ -7,7 +7,9 @@ on, and one of ``LONGEST`` ids is cut anyway.  A chunk's address is the SHA-256
 bytes.  The store has
 
 * chunks: each address once, with its bytes;
-* recipes: for each document the addresses in order, and the Merkle root over them.
+* references: for each document the addresses in order, its recipe;
+* manifests: for each document the number of its chunks and tokens and the Merkle root over
+  its recipe, as they were when it was tokenized.
 
 Texts are tokenized once: (address, bytes, reference) rows are grouped by address in one
 shuffle, and a sorted pass writes chunks and references to the store in one go.
@@ -192,10 +194,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Non
         for batch in batches:
             for lo, hi, raw, offs in chunks(batch.column(2)):
                 ids, cut = own_tokenizer.many(raw, offs)
-                row, number, address, data = [], [], [], []
+                row, number, address, data, tokens = [], [], [], [], []
                 for k in range(hi - lo):
                     part = ids[cut[k] : cut[k + 1]]
-                    last = 0
+                    last, recipe = 0, []
                     for j, end in enumerate(cut_points(part).tolist()):
                         piece = part[last:end].tobytes()
                         last = end
@@ -206,19 +208,31 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Non
                         # A task sends each chunk's bytes once.
                         data.append(None if a in sent else piece)
                         sent.add(a)
+                        tokens.append(None)
+                        recipe.append(a)
                     if last == 0:
                         row.append(lo + k)
                         number.append(-1)
                         address.append(b"")
                         data.append(None)
+                        tokens.append(None)
+                    row.append(lo + k)
+                    number.append(len(recipe))
+                    address.append(merkle(recipe))
+                    data.append(None)
+                    tokens.append(len(part))
                 if row:
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(address), pa.array(data, pa.binary())], names=["doc_id", "text_hash", "number", "address", "data"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(address), pa.array(data, pa.binary()), pa.array(tokens, pa.int32())], names=["doc_id", "text_hash", "number", "address", "data", "tokens"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            n = batch.num_rows
+            told = batch.filter(batch.column(5).is_valid())
+            batch = batch.filter(batch.column(5).is_null())
+            m, n = told.num_rows, batch.num_rows
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(["manifest"] * m), *told.columns[:4], pa.nulls(m, pa.binary()), told.column(5)], names=NAMES)
             if not n:
                 continue
             address = batch.column(3).to_pylist()
@@ -235,7 +249,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Non
             yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * kept.num_rows, pa.string()), empty, empty, pa.nulls(kept.num_rows, pa.int32()), kept.column(3), kept.column(4), size], names=NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(["reference"] * n), batch.column(0), batch.column(1), batch.column(2), batch.column(3), none, pa.nulls(n, pa.int32())], names=NAMES)
 
-    rows = own.mapInArrow(tokenize, "doc_id long, text_hash long, number int, address binary, data binary")
+    rows = own.mapInArrow(tokenize, "doc_id long, text_hash long, number int, address binary, data binary, tokens int")
     rows = rows.repartition("address").sortWithinPartitions("address", F.col("data").isNull(), F.col("data"))
     rows.mapInArrow(store, SCHEMA).write.partitionBy("kind").parquet(path)
 
@@ -247,33 +261,46 @@ SCHEMA = "kind string, doc_id long, text_hash long, number int, address binary,
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, copies, n_chunks, n_tokens, root, verified) of every recipe.
 
-    Verified: every address of the recipe is in the store, and the bytes stored there
-    hash to it, so following the recipe gives the ids that were put in.
+    Verified: every address of the recipe is in the store, the bytes stored there hash to
+    it, and the recipe has the numbering, count, tokens and root that its manifest has from
+    the time it was written, so following it gives the ids that were put in.  A document of
+    which only the manifest or only references are left is not verified.
     """
     stored = spark.read.schema(SCHEMA).parquet(path)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [hashlib.sha256(x.as_buffer()).digest() == a.as_py() for a, x in zip(batch.column(0), batch.column(2))]
+            good = [hashlib.sha256(x.as_buffer()).digest() == a.as_py() and 2 * s.as_py() == len(x.as_buffer()) for a, s, x in zip(*batch.columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["address", "size", "good"])
 
     known = stored.filter("kind = 'chunk'").select("address", "size", "data").mapInArrow(hashed, "address binary, size int, good boolean")
     used = stored.filter("kind = 'reference'").select("doc_id", "text_hash", "number", "address").join(known, "address", "left")
-    lists = used.groupBy("doc_id", "text_hash", "number").agg(F.count("*").alias("copies"), F.first(F.struct("address", "size", "good")).alias("x"))
-    lists = lists.groupBy("doc_id", "text_hash").agg(
-        F.max("copies").alias("copies"),
-        F.sort_array(F.collect_list(F.struct("number", "x.address"))).alias("recipe"),
-        F.sum(F.coalesce("x.size", F.lit(0))).alias("n_tokens"),
-        F.bool_and((F.col("number") < 0) | F.coalesce("x.good", F.lit(False))).alias("verified"),
+    own = ["doc_id", "text_hash"]
+    lists = used.groupBy(*own, "number", "address").agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.first("good").alias("good"))
+    lists = lists.select(*own, "copies", F.struct("number", "address").alias("part"), "size", ((F.col("number") < 0) | F.coalesce("good", F.lit(False))).alias("good"), F.lit(None).cast("struct<number:int,root:binary,size:int>").alias("told"))
+    told = stored.filter("kind = 'manifest'").groupBy(*own, F.struct("number", F.col("address").alias("root"), "size").alias("told")).agg(F.count("*").alias("copies"))
+    told = told.select(*own, "copies", F.lit(None).cast("struct<number:int,address:binary>").alias("part"), F.lit(None).cast("int").alias("size"), F.lit(True).alias("good"), "told")
+    lists = lists.union(told).groupBy(*own).agg(
+        F.coalesce(F.max(F.when(F.col("told").isNotNull(), F.col("copies"))), F.max("copies")).alias("copies"),
+        F.sort_array(F.collect_list("part")).alias("recipe"),
+        F.sum(F.coalesce("size", F.lit(0))).alias("n_tokens"),
+        # Each reference and the manifest occur once a copy.
+        (F.bool_and("good") & (F.min("copies") == F.max("copies")) & (F.count("told") == 1)).alias("verified"),
+        F.max("told").alias("told"),
     )
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recipes = [[x["address"] for x in r if x["number"] >= 0] for r in batch.column(2).to_pylist()]
-            roots = [merkle(r).hex() for r in recipes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in recipes], pa.int64()), batch.column(3), pa.array(roots), batch.column(4)], names=["doc_id", "copies", "n_chunks", "n_tokens", "root", "verified"])
-
-    return lists.select("doc_id", "copies", "recipe", "n_tokens", "verified").mapInArrow(rooted, "doc_id long, copies long, n_chunks long, n_tokens long, root string, verified boolean")
+            parts, told = batch.column(2).to_pylist(), batch.column(5).to_pylist()
+            recipes = [[x["address"] for x in r if x["number"] >= 0] for r in parts]
+            roots = [merkle(r) for r in recipes]
+            good = [
+                v and [x["number"] for x in r] == (list(range(m["number"])) or [-1]) and root == m["root"] and n == m["size"]
+                for v, r, root, n, m in zip(batch.column(4).to_pylist(), parts, roots, batch.column(3).to_pylist(), told)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in recipes], pa.int64()), batch.column(3), pa.array([r.hex() for r in roots]), pa.array(good, pa.bool_())], names=["doc_id", "copies", "n_chunks", "n_tokens", "root", "verified"])
+
+    return lists.select("doc_id", "copies", "recipe", "n_tokens", "verified", "told").mapInArrow(rooted, "doc_id long, copies long, n_chunks long, n_tokens long, root string, verified boolean")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
