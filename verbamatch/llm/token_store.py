@@ -11,16 +11,19 @@ bytes.  The store has
 * manifests: for each document the number of its chunks and tokens and the Merkle root over
   its recipe, as they were when it was tokenized.
 
-Texts are tokenized once: (address, bytes, reference) rows are grouped by address in one
-shuffle, and a sorted pass writes chunks and references to the store in one go.
+Texts are tokenized once and go through one shuffle, after which a sorted pass writes
+chunks, references and manifests in one go.  A task sends a chunk's bytes once, to the
+place of its address; rows without bytes go anywhere, so a chunk that a third of all
+documents share is no burden to one task.
 
 Pre-tokens follow the vocabulary's pattern with numpy over character classes; each
 distinct pre-token is encoded once per worker.  Texts with an apostrophe, where the
 pattern has contractions, are encoded as a whole; ids are the same either way.
 
 Defined results: null and empty texts have no chunks and the root of nothing (SHA-256 of
-the empty string); rows that share a doc_id are told apart by a hash of the text, and
-equal rows share one recipe, counted in `copies`; doc_id may be null.
+the empty string); texts of any length are stored whole; rows that share a doc_id are told
+apart by a hash of the text, and equal rows share one recipe, counted in `copies`; doc_id
+may be null; an empty table gives an empty store; extra columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -74,21 +77,23 @@ def classes() -> np.ndarray:
     return out
 
 
-def pretokens(code: np.ndarray) -> np.ndarray:
-    """Starts of the pre-tokens of a text without apostrophes, given as code points."""
+def pretokens(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens of texts without apostrophes, given as code points one after another; first[k]: start of text k, and the end."""
     k = classes()[code]
     n = len(k)
-    head = np.ones(n, bool)
-    head[1:] = k[1:] != k[:-1]
-    begin = np.flatnonzero(head)
+    head = np.ones(n + 1, bool)
+    head[1:-1] = k[1:] != k[:-1]
+    head[first] = True
+    begin = np.flatnonzero(head[:-1])
     end = np.concatenate([begin[1:], [n]])
-    blank = k[begin] == SPACE
-    final = end == n
+    closes = np.zeros(n + 1, bool)
+    closes[first] = True
+    blank = (k[begin] == SPACE) & ~closes[end]
     last = end - 1
     # The last white space before a word is a token of its own, or the word's if it is a plain space.
-    joins = blank & ~final & (code[last] == 32)
-    splits = blank & ~final & (end - begin > 1)
-    starts = head.copy()
+    joins = blank & (code[last] == 32)
+    splits = blank & (end - begin > 1)
+    starts = head[:-1]
     starts[last[splits]] = True
     starts[last[joins]] = True
     starts[end[joins]] = False
@@ -96,21 +101,39 @@ def pretokens(code: np.ndarray) -> np.ndarray:
 
 
 class Tokenizer:
-    """Ids of texts, with a memory of pre-tokens."""
+    """Ids of texts, with a memory of pre-tokens: a table by hash with places in a pool of ids."""
 
-    MEMORY = 1 << 19
+    SLOTS = 21
+    POOL = 1 << 22
 
     def __init__(self, path: str):
         self.encoding = encoding(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def one(self, piece: bytes) -> np.ndarray:
-        ids = self.known.get(piece)
-        if ids is None:
-            if len(self.known) >= self.MEMORY:
-                self.known.clear()
-            ids = self.known[piece] = np.array(self.encoding.encode_ordinary(piece.decode()), np.uint16)
-        return ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key = np.zeros(1 << self.SLOTS, U64)
+        self.base = np.zeros(1 << self.SLOTS, np.int32)
+        self.size = np.zeros(1 << self.SLOTS, np.int32)
+        self.pool = np.zeros(0, np.uint16)
+
+    def _ids(self, body: bytes, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids) of each pre-token body[a:b] of hash h."""
+        if len(self.pool) > self.POOL:
+            self._forget()
+        slot = (h >> U64(64 - self.SLOTS)).astype(np.int64)
+        base, size = self.base[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        miss = np.flatnonzero((self.key[slot] != h) | (size == 0))
+        if len(miss):
+            hm, at, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = miss[at]
+            new = [self.encoding.encode_ordinary(body[x:y].decode()) for x, y in zip(a[at].tolist(), b[at].tolist())]
+            n = np.array([len(x) for x in new])
+            start = len(self.pool) + np.cumsum(n) - n
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in new for i in x), np.uint16)])
+            place = slot[at]
+            self.key[place], self.base[place], self.size[place] = hm, start, n
+            base[miss], size[miss] = start[which], n[which]
+        return base, size
 
     def many(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a chunk of texts."""
@@ -118,13 +141,10 @@ class Tokenizer:
         if not len(raw):
             return np.zeros(0, np.uint16), np.zeros(n + 1, np.int64)
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
-        code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        body = raw.tobytes()
+        code = np.frombuffer(body.decode().encode("utf-32-le"), np.uint32)
         first = np.searchsorted(lead, offs)  # a text's first character
-        quoted = np.zeros(n, bool)
-        quoted[np.searchsorted(first, np.flatnonzero(code == 39), "right") - 1] = True
-        starts = [pretokens(code[a:b]) + a if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1], first[1:])]
-        per = np.array([len(s) for s in starts])
-        start = np.concatenate(starts)
+        start = pretokens(code, first)
         edge = np.concatenate([lead, [len(raw)]])
         a = edge[start]
         b = np.concatenate([a[1:], [len(raw)]])
@@ -132,16 +152,12 @@ class Tokenizer:
         sums = np.zeros(len(raw) + 1, U64)
         np.cumsum((raw.astype(U64) + U64(1)) * pw[: len(raw)], out=sums[1:])
         h = mix((sums[b] - sums[a]) * inv[a] + (b - a).astype(U64))
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        body = raw.tobytes()
-        pieces = [self.one(body[x:y]) for x, y in zip(a[at].tolist(), b[at].tolist())]
-        size = np.array([len(p) for p in pieces])
-        flat = np.concatenate(pieces)
-        base = np.cumsum(size) - size
-        length = size[which]
-        cut = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(base[which] - cut[:-1], length) + np.arange(cut[-1])]
-        out = cut[np.concatenate([[0], np.cumsum(per)])]
+        base, size = self._ids(body, h, a, b)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(base - cut[:-1], size) + np.arange(cut[-1])]
+        out = cut[np.searchsorted(start, first)]
+        quoted = np.zeros(n, bool)
+        quoted[np.searchsorted(first, np.flatnonzero(code == 39), "right") - 1] = True
         if quoted.any():
             parts = [np.array(self.encoding.encode_ordinary(body[offs[k] : offs[k + 1]].decode()), np.uint16) if quoted[k] else ids[out[k] : out[k + 1]] for k in range(n)]
             ids, out = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -154,24 +170,31 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream."""
+def cut_points(ids: np.ndarray, offs: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream ids[offs[k] : offs[k + 1]], counted from its start."""
     n = len(ids)
-    if not n:
-        return np.zeros(0, np.int64)
-    roll = np.zeros(n, U64)
-    v = mix(ids.astype(U64) + U64(1))
-    for j in range(min(WINDOW, n)):
-        roll[j:] += v[: n - j] * U64(pow(0xD6E8FEB86659FD93, j, 1 << 64))
-    wanted = (np.flatnonzero((mix(roll) >> U64(64 - CUT_BITS)) == 0) + 1).tolist()
-    ends, last, i = [], 0, 0
-    while last < n:
-        while i < len(wanted) and wanted[i] - last < SHORTEST:
-            i += 1
-        nearest = wanted[i] if i < len(wanted) else n
-        last = min(nearest, last + LONGEST, n)
-        ends.append(last)
-    return np.array(ends, np.int64)
+    pw, inv = powers(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(mix(ids.astype(U64) + U64(1)) * inv[:n], out=sums[1:])
+    at = np.arange(n)
+    begin = np.maximum(at + 1 - WINDOW, np.repeat(offs[:-1], np.diff(offs)))
+    roll = (sums[1:] - sums[begin]) * pw[:n]
+    wanted = np.flatnonzero((mix(roll) >> U64(64 - CUT_BITS)) == 0) + 1
+    # A cut at a stream's end is the last one of its own stream.
+    upto = np.searchsorted(wanted, offs, "right").tolist()
+    wanted, offs = wanted.tolist(), offs.tolist()
+    out = []
+    for k in range(len(offs) - 1):
+        first, size, i, most = offs[k], offs[k + 1] - offs[k], upto[k], upto[k + 1]
+        ends, last = [], 0
+        while last < size:
+            while i < most and wanted[i] - first - last < SHORTEST:
+                i += 1
+            nearest = wanted[i] - first if i < most else size
+            last = min(nearest, last + LONGEST, size)
+            ends.append(last)
+        out.append(ends)
+    return out
 
 
 def merkle(addresses: list[bytes]) -> bytes:
@@ -194,36 +217,28 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Non
         for batch in batches:
             for lo, hi, raw, offs in chunks(batch.column(2)):
                 ids, cut = own_tokenizer.many(raw, offs)
+                body, begin = ids.tobytes(), (2 * cut).tolist()
                 row, number, address, data, tokens = [], [], [], [], []
-                for k in range(hi - lo):
-                    part = ids[cut[k] : cut[k + 1]]
-                    last, recipe = 0, []
-                    for j, end in enumerate(cut_points(part).tolist()):
-                        piece = part[last:end].tobytes()
-                        last = end
+                for k, ends in enumerate(cut_points(ids, cut)):
+                    last, recipe = begin[k], []
+                    for end in ends:
+                        piece = body[last : begin[k] + 2 * end]
+                        last += len(piece)
                         a = hashlib.sha256(piece).digest()
-                        row.append(lo + k)
-                        number.append(j)
-                        address.append(a)
+                        recipe.append(a)
                         # A task sends each chunk's bytes once.
                         data.append(None if a in sent else piece)
                         sent.add(a)
-                        tokens.append(None)
-                        recipe.append(a)
-                    if last == 0:
-                        row.append(lo + k)
-                        number.append(-1)
-                        address.append(b"")
-                        data.append(None)
-                        tokens.append(None)
-                    row.append(lo + k)
-                    number.append(len(recipe))
+                    m = len(recipe)
+                    row += [lo + k] * (m + 1)
+                    number += range(m + 1)
+                    address += recipe
                     address.append(merkle(recipe))
                     data.append(None)
-                    tokens.append(len(part))
-                if row:
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(address), pa.array(data, pa.binary()), pa.array(tokens, pa.int32())], names=["doc_id", "text_hash", "number", "address", "data", "tokens"])
+                    tokens += [None] * m
+                    tokens.append((begin[k + 1] - begin[k]) // 2)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(address), pa.array(data, pa.binary()), pa.array(tokens, pa.int32())], names=["doc_id", "text_hash", "number", "address", "data", "tokens"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -235,23 +250,22 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> Non
                 yield pa.RecordBatch.from_arrays([pa.array(["manifest"] * m), *told.columns[:4], pa.nulls(m, pa.binary()), told.column(5)], names=NAMES)
             if not n:
                 continue
-            address = batch.column(3).to_pylist()
+            # Rows with the bytes of one address are neighbours.
+            full = batch.filter(batch.column(4).is_valid())
             new = []
-            for k in range(n):
-                # The rows with bytes come first within an address.
-                new.append(address[k] != last and address[k] != b"")
-                last = address[k]
-            at = pa.array(new)
-            none = pa.nulls(n, pa.binary())
-            kept = batch.filter(at)
+            for a in full.column(3).to_pylist():
+                new.append(a != last)
+                last = a
+            kept = full.filter(pa.array(new, pa.bool_()))
             empty = pa.nulls(kept.num_rows, pa.int64())
             size = pa.array([len(x) // 2 for x in kept.column(4).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * kept.num_rows, pa.string()), empty, empty, pa.nulls(kept.num_rows, pa.int32()), kept.column(3), kept.column(4), size], names=NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(["reference"] * n), batch.column(0), batch.column(1), batch.column(2), batch.column(3), none, pa.nulls(n, pa.int32())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(["reference"] * n), *batch.columns[:4], pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=NAMES)
 
     rows = own.mapInArrow(tokenize, "doc_id long, text_hash long, number int, address binary, data binary, tokens int")
-    rows = rows.repartition("address").sortWithinPartitions("address", F.col("data").isNull(), F.col("data"))
-    rows.mapInArrow(store, SCHEMA).write.partitionBy("kind").parquet(path)
+    route = F.when(F.col("data").isNull(), F.xxhash64("doc_id", "text_hash", "number", F.spark_partition_id())).otherwise(F.xxhash64("address"))
+    rows = rows.withColumn("route", route).repartition("route").sortWithinPartitions("route", "address")
+    rows.drop("route").mapInArrow(store, SCHEMA).write.partitionBy("kind").parquet(path)
 
 
 NAMES = ["kind", "doc_id", "text_hash", "number", "address", "data", "size"]
@@ -277,7 +291,7 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
     used = stored.filter("kind = 'reference'").select("doc_id", "text_hash", "number", "address").join(known, "address", "left")
     own = ["doc_id", "text_hash"]
     lists = used.groupBy(*own, "number", "address").agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.first("good").alias("good"))
-    lists = lists.select(*own, "copies", F.struct("number", "address").alias("part"), "size", ((F.col("number") < 0) | F.coalesce("good", F.lit(False))).alias("good"), F.lit(None).cast("struct<number:int,root:binary,size:int>").alias("told"))
+    lists = lists.select(*own, "copies", F.struct("number", "address").alias("part"), "size", F.coalesce("good", F.lit(False)).alias("good"), F.lit(None).cast("struct<number:int,root:binary,size:int>").alias("told"))
     told = stored.filter("kind = 'manifest'").groupBy(*own, F.struct("number", F.col("address").alias("root"), "size").alias("told")).agg(F.count("*").alias("copies"))
     told = told.select(*own, "copies", F.lit(None).cast("struct<number:int,address:binary>").alias("part"), F.lit(None).cast("int").alias("size"), F.lit(True).alias("good"), "told")
     lists = lists.union(told).groupBy(*own).agg(
@@ -292,10 +306,10 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, told = batch.column(2).to_pylist(), batch.column(5).to_pylist()
-            recipes = [[x["address"] for x in r if x["number"] >= 0] for r in parts]
+            recipes = [[x["address"] for x in r] for r in parts]
             roots = [merkle(r) for r in recipes]
             good = [
-                v and [x["number"] for x in r] == (list(range(m["number"])) or [-1]) and root == m["root"] and n == m["size"]
+                v and [x["number"] for x in r] == list(range(m["number"])) and root == m["root"] and n == m["size"]
                 for v, r, root, n, m in zip(batch.column(4).to_pylist(), parts, roots, batch.column(3).to_pylist(), told)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in recipes], pa.int64()), batch.column(3), pa.array([r.hex() for r in roots]), pa.array(good, pa.bool_())], names=["doc_id", "copies", "n_chunks", "n_tokens", "root", "verified"])
@@ -308,6 +322,9 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema(SCHEMA).parquet(path)
     known = stored.filter("kind = 'chunk'").select("address", "data")
     used = stored.filter("kind = 'reference'").select("doc_id", "text_hash", "number", "address").distinct().join(known, "address", "left")
+    # A document without chunks has a manifest only.
+    told = stored.filter("kind = 'manifest'").select("doc_id", "text_hash").distinct()
+    used = used.select("doc_id", "text_hash", "number", "data").union(told.select("*", F.lit(-1), F.lit(b"")))
     parts = used.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("number", F.coalesce("data", F.lit(b"")).alias("data")))).alias("p"))
     return parts.select("doc_id", "text_hash", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("ids"))
 
