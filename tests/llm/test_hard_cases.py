@@ -49,7 +49,7 @@ def count(df):
 
 def test_every_operator_takes_them(spark, messy, labels, bench, tmp_path):
     n = messy.count()
-    assert count(suffix_tree_lm.score(messy, suffix_tree_lm.fit(messy, p_min=1e-4))) == n
+    assert count(suffix_tree_lm.score_corpus(messy)) == n
     assert {(r.doc_id, r.item_id, r.hits) for r in decontaminate.find_leaks(messy, bench).collect()} == {(1, None, 1), (None, 0, 1)}
     assert count(decontaminate.drop_leaks(messy, bench)) == n - 3
     recurring = phrase_automata.find_recurring(messy)
@@ -68,13 +68,14 @@ def test_every_operator_takes_them(spark, messy, labels, bench, tmp_path):
     assert kept.columns == messy.columns
     assert count(kept) == n - 2  # the repeated row of 1, and one of the two rows without id and text
     pieces = packing.pack(messy).collect()
-    assert len({(r.seq_id, r.seq_start) for r in pieces if r.n_words}) == sum(r.n_words > 0 for r in pieces)
+    assert len({(r.seq_id, r.seq_start) for r in pieces if r.n_tokens}) == sum(r.n_tokens > 0 for r in pieces)
 
 
 def test_empty_tables(spark, messy, labels, bench, tmp_path):
     none = messy.limit(0)
     outs = [
-        suffix_tree_lm.score(none, suffix_tree_lm.fit(none)),
+        suffix_tree_lm.score_corpus(none),
+        suffix_tree_lm.score_corpus(none, corpus=messy),
         decontaminate.find_leaks(none, bench),
         decontaminate.drop_leaks(none, bench),
         phrase_automata.find_recurring(none),

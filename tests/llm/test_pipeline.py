@@ -13,7 +13,7 @@ from verbamatch import llm
 from verbamatch.llm import packing, quality
 from verbamatch.llm._spark import table
 
-from .test_operators import distance, naive_words, prose
+from .test_operators import distance, hashed, naive_pack, naive_words, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,11 +56,11 @@ def brute(spark, sf_dir):
                 left.append(x)
                 continue
             gone = key in seen
-            if not gone and len(key) >= 20:
-                gone = any(abs(len(y) - len(key)) <= 1 and (y[: len(key) // 2 - 1] == key[: len(key) // 2 - 1] or y[-(len(key) // 2 - 1) :] == key[-(len(key) // 2 - 1) :]) and distance(y, key) <= 1 for y in near)
+            if not gone and len(key) >= 9:
+                gone = any(abs(len(y) - len(key)) <= 1 and max(len(y), len(key)) >= 10 and (y[: len(key) // 2 - 1] == key[: len(key) // 2 - 1] or y[-(len(key) // 2 - 1) :] == key[-(len(key) // 2 - 1) :]) and distance(y, key) <= 1 for y in near)
             if key not in seen:
                 seen.add(key)
-                near.append(key) if len(key) >= 20 else None
+                near.append(key) if len(key) >= 9 else None
             if not gone:
                 left.append(x)
         if any(x.strip(" \t\r\x0b\x0c") for x in left) or not texts[d].strip(" \t\r\x0b\x0c\n"):
@@ -90,18 +90,7 @@ def brute(spark, sf_dir):
         w = naive_words(r.text)
         grams |= {" " + " ".join(w[i : i + 13]) + " " for i in range(max(1, len(w) - 12))} if w else set()
     out = {d: t for d, t in out.items() if not any(g in " " + " ".join(naive_words(t)) + " " for g in grams)}
-    keys = packing.curve_keys(spark.createDataFrame(list(out.items()), "doc_id long, text string"))
-    at, pieces = 0, []
-    for r in sorted(keys.collect(), key=lambda r: (r.curve_key, r.doc_id)):
-        done = 0
-        while True:
-            take = min(r.n_words - done, packing.CONTEXT - (at + done) % packing.CONTEXT)
-            pieces.append((r.doc_id, (at + done) // packing.CONTEXT, (at + done) % packing.CONTEXT, done, take))
-            done += take
-            if done >= r.n_words:
-                break
-        at += r.n_words
-    return pieces
+    return naive_pack(hashed(spark.createDataFrame(list(out.items()), "doc_id long, text string")), packing.CONTEXT)
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -132,7 +121,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = brute(spark, str(tmp_path))
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted((r.doc_id, r.seq_id, r.seq_start, r.doc_start, r.n_words) for r in got.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert 200 < len({p[0] for p in want}) < 650
 
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILTER_BITS = 1 << 26
+NODE = "struct<no:int,id:bigint,h:bigint>"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode (tests), and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="verbamatch-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="verbamatch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -24,7 +33,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -35,20 +54,48 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df by their literal names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-NO_ID = 1 << 62
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def node() -> Column:
-    """The doc_id, or for a null one a number of the text above all ids, so that it sorts last."""
-    text = F.col("text").cast("string")
-    unnamed = F.lit(NO_ID).bitwiseOR(F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit(NO_ID - 1)))
-    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+    """Identity of a row's document (NODE): its doc_id and a hash of its text; a row without id sorts after all others.
+
+    Equal rows are one document; rows that share an id but not the text are two.
+    """
+    own = F.col("doc_id").cast("long")
+    return F.struct(F.when(own.isNull(), 1).otherwise(0).alias("no"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
 
 
 def as_id(column: str) -> Column:
-    """A node as a doc_id: null where it stands for none."""
-    return F.when(F.col(column) < NO_ID, F.col(column))
+    """The doc_id of a node."""
+    return F.when(F.col(column)["no"] == 0, F.col(column)["id"])
+
+
+def marked(df: DataFrame, columns: list[str], wanted: DataFrame, name: str) -> DataFrame:
+    """df with a column `name`: true for every row whose `columns` are those of a row of `wanted`, and for few others.
+
+    A bitmap with about 16 bits for each wanted key, of FILTER_BITS bits (8 MB) at most,
+    is made by an aggregation and broadcast.  Its size is bounded whatever the data; where
+    there are more keys than it can tell apart it marks more rows, never fewer.  `wanted`
+    is read twice, so it should be materialised.
+    """
+    bits = min(FILTER_BITS, 1 << max(12, (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(bits))
+    at, mask, word = fresh(df, "slot_"), fresh(df, "mask_"), fresh(df, "word_")
+    words = wanted.select(slot.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 as int))")).alias(mask))
+    both = df.withColumn(at, slot).withColumn(fresh(df, "word_of_"), F.shiftright(at, 6))
+    both = both.join(F.broadcast(words), F.col(fresh(df, "word_of_")) == F.col(word), "left")
+    hit = F.expr(f"coalesce(({mask} & shiftleft(1L, cast({at} & 63 as int))) <> 0, false)")
+    return both.select(*own_columns(df), hit.alias(name))
+
+
+def likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of df that `marked` marks: what a join with `wanted` needs, without shuffling the rest."""
+    name = fresh(df, "likely_")
+    return marked(df, columns, wanted, name).filter(F.col(name)).select(*own_columns(df))

@@ -8,6 +8,11 @@ hash.  Only grams that were picked at two places or more travel on, each with th
 words around it, keyed by its hash: every run of SPAN words that occurs twice arrives
 whole in the same group at each of its occurrences, and nothing else is moved.
 
+A gram at more than ``HOT`` places (a licence header's, say) makes no group.  There each run
+of SPAN words around it is keyed by two 64-bit hashes of its own, so that only equal runs
+meet, in aggregations that combine before the shuffle (`hot_runs`).  Groups are thus never
+larger than HOT rows, whatever the data.
+
 Where a text repeats itself with a short period the same gram is least again and
 again; such chains are thinned so that each stretch of SPAN words keeps one (see `picked`).
 """
@@ -18,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import U64, Words, chunks, grams, within, words
+from ._spark import NODE, likely, materialise, node
+from ._text import U64, Words, chunks, grams, mix, powers, within, words
 
 SPAN = 50
 GRAM = 16
 BACK = SPAN - GRAM
 ROW = BACK + SPAN
-NO_ID = (1 << 63) - 1
-SCHEMA = "h long, doc long, pos int, back int, tokens binary"
+HOT = 20_000
+SCHEMA = f"h long, doc {NODE}, pos int, back int, tokens binary"
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -75,42 +81,45 @@ def picked(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return p, h
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """SCHEMA rows: gram hash, document (NO_ID where null), place of the gram, words before it in the row, and the words as 32-bit hashes."""
-    own = _own(docs)
+def _wanted(batch: pa.RecordBatch, lo: int, hi: int, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word index, hash, text index) of the picked grams of rows lo..hi that the list in column 2 names."""
+    p, h = picked(w)
+    text = np.searchsorted(w.first, p, "right") - 1
+    part = batch.column(2).slice(lo, hi - lo)
+    wanted = part.flatten().to_numpy().view(U64)
+    n = np.diff(part.offsets.to_numpy())
+    # A gram is wanted in its own text only: compare (text, hash) pairs.
+    salt = U64(0x9E3779B97F4A7C15)
+    key = np.sort(wanted ^ (np.repeat(np.arange(hi - lo), n).astype(U64) * salt))
+    if not len(key):
+        return p[:0], h[:0], text[:0]
+    mine = h ^ (text.astype(U64) * salt)
+    hit = key[np.minimum(np.searchsorted(key, mine), len(key) - 1)] == mine
+    return p[hit], h[hit], text[hit]
+
+
+def repeated_windows(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
+    """Windows in groups, and the runs around grams that make no group (None: there are no such grams).
+
+    Windows (SCHEMA): gram hash, document, place of the gram, words before it in the row,
+    and the words as 32-bit hashes; sorted by hash, document and place.  Runs: (r1, r2, doc,
+    start), one for each run of SPAN words around a hot gram.
+    """
+    own = docs.select(node().alias("doc"), F.col("text").cast("string").alias("text"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy()
             for lo, _, raw, offs in chunks(batch.column(1)):
                 w = words(raw, offs)
                 p, h = picked(w)
                 text = np.searchsorted(w.first, p, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[lo + text]), pa.array((p - w.first[text]).astype(np.int32))], names=["h", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(lo + text))], names=["h", "doc"])
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy()
-            lists = batch.column(2)
             for lo, hi, raw, offs in chunks(batch.column(1)):
                 w = words(raw, offs)
-                p, h = picked(w)
-                text = np.searchsorted(w.first, p, "right") - 1
-                part = lists.slice(lo, hi - lo)
-                wanted = part.flatten().to_numpy().view(U64)
-                n = np.diff(part.offsets.to_numpy())
-                # A gram is wanted in its own text only: compare (text, hash) pairs.
-                key = np.sort(wanted ^ (np.repeat(np.arange(hi - lo), n).astype(U64) * U64(0x9E3779B97F4A7C15)))
-                mine = h ^ (text.astype(U64) * U64(0x9E3779B97F4A7C15))
-                if not len(key):
-                    continue
-                at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-                hit = key[at] == mine
-                p, h, text = p[hit], h[hit], text[hit]
+                p, h, text = _wanted(batch, lo, hi, w)
                 if not len(p):
                     continue
                 a = np.maximum(w.first[text], p - BACK)
@@ -120,63 +129,93 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(size)])
                 flat = token[np.repeat(a - cut[:-1], size) + np.arange(cut[-1])]
                 tokens = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[lo + text]), pa.array((p - w.first[text]).astype(np.int32)), pa.array((p - a).astype(np.int32)), tokens], names=["h", "doc", "pos", "back", "tokens"])
-
-    found = own.mapInArrow(marks, "h long, doc long, pos int")
-    # A repeated row makes its grams count twice, which only lets more rows travel.
-    twice = found.select("h", "doc", F.count("*").over(Window.partitionBy("h")).alias("n")).filter("n > 1")
-    wanted = twice.groupBy("doc").agg(F.collect_set("h").alias("hs"))
-    rows = own.join(wanted, "doc").select("doc", "text", "hs").mapInArrow(around, SCHEMA)
-    return rows.repartition("h").sortWithinPartitions("h", "doc", "pos")
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(lo + text)), pa.array((p - w.first[text]).astype(np.int32)), pa.array((p - a).astype(np.int32)), tokens], names=["h", "doc", "pos", "back", "tokens"])
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offs in chunks(batch.column(1)):
+                w = words(raw, offs)
+                p, _, text = _wanted(batch, lo, hi, w)
+                a = np.maximum(w.first[text], p - BACK)
+                size = np.maximum(np.minimum(w.first[text + 1] - SPAN, p) + 1 - a, 0)
+                cut = np.cumsum(size)
+                start = np.unique(np.repeat(a - (cut - size), size) + np.arange(cut[-1] if len(cut) else 0))
+                if not len(start):
+                    continue
+                text = np.searchsorted(w.first, start, "right") - 1
+                keys = [pa.array(x.view(np.int64)) for x in run_keys(w.hash, start)]
+                yield pa.RecordBatch.from_arrays([*keys, batch.column(0).take(pa.array(lo + text)), pa.array((start - w.first[text]).astype(np.int32))], names=["r1", "r2", "doc", "start"])
 
-def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Tables of whole groups of equal h, of about `rows` rows each.
-
-    A group of more than `rows` rows comes in slices, in order; True marks a slice that
-    continues the group of the table before.
-    """
+    found = own.mapInArrow(marks, f"h long, doc {NODE}")
+    # A repeated row makes its grams count twice, which only lets more rows travel.
+    counts = materialise(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+
+    def texts(which: Column) -> DataFrame:
+        """(doc, text, hs) of the documents that hold a gram of these, once for each document."""
+        own_counts = counts.filter(which).select("h")
+        wanted = likely(found, ["h"], own_counts).join(own_counts, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("hs"))
+        wanted = materialise(wanted, "wanted")
+        return likely(own, ["doc"], wanted).dropDuplicates(["doc"]).join(wanted, "doc").select("doc", "text", "hs")
+
+    is_hot = F.col("n") > hot
+    windows = texts(~is_hot).mapInArrow(around, SCHEMA).repartition("h").sortWithinPartitions("h", "doc", "pos")
+    if counts.filter(is_hot).isEmpty():
+        return windows, None
+    return windows, materialise(texts(is_hot).mapInArrow(runs, f"r1 long, r2 long, doc {NODE}, start int"), "hot-runs")
+
+
+def run_keys(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the SPAN words from each start on."""
+    pw, inv = powers(len(hashes) + 1)
+    out = []
+    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        sums = np.zeros(len(hashes) + 1, U64)
+        np.cumsum(mix(hashes ^ U64(salt)) * pw[: len(hashes)], out=sums[1:])
+        out.append(mix((sums[start + SPAN] - sums[start]) * inv[start]))
+    return out[0], out[1]
+
+
+def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of equal h, of about `rows` rows each."""
     held: list[pa.RecordBatch] = []
-    n, running = 0, None
+    n, tried = 0, 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             n += batch.num_rows
-        while n >= rows:
-            t = pa.Table.from_batches(held)
-            h = t.column("h").to_numpy()
-            change = np.flatnonzero(h[1:] != h[:-1]) + 1
-            cut = int(change[-1]) if len(change) else n
-            yield from _split(t.slice(0, cut), running)
-            running = None if len(change) else h[0]
-            t = t.slice(cut)
-            held, n = t.to_batches(), t.num_rows
-    if n:
-        yield from _split(pa.Table.from_batches(held), running)
-
-
-def _split(t: pa.Table, running) -> Iterator[tuple[pa.Table, bool]]:
-    if running is not None:
+        if n < max(rows, 2 * tried):
+            continue
+        t = pa.Table.from_batches(held)
         h = t.column("h").to_numpy()
-        own = int(np.searchsorted(h, running, "right")) if h[0] == running else 0
-        if own:
-            yield t.slice(0, own), True
-        t = t.slice(own)
-    if t.num_rows:
-        yield t, False
+        change = np.flatnonzero(h[1:] != h[:-1]) + 1
+        cut = 0
+        for last in change.tolist():
+            if last - cut >= rows or last == change[-1]:
+                yield t.slice(cut, last - cut)
+                cut = last
+        t = t.slice(cut)
+        held, n = t.to_batches(), t.num_rows
+        tried = n
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def matrix(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """(h, doc, pos, back, size, tokens) with the words right-padded into a matrix of ROW columns."""
-    col = t.column("tokens").combine_chunks()
-    if isinstance(col, pa.ChunkedArray):
-        col = col.chunk(0)
+    """(h, doc, pos, back, size, tokens) with documents numbered in order within each group, and the words right-padded into a matrix of ROW columns."""
+    t = t.combine_chunks()
+    col, doc = t.column("tokens").chunk(0), t.column("doc").chunk(0)
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     flat = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(np.uint32)
     size = np.diff(offs) // 4
     m = np.zeros((len(col), ROW), np.uint32)
     m[np.arange(ROW)[None, :] < size[:, None]] = flat
-    return t.column("h").to_numpy().view(U64), t.column("doc").to_numpy(), t.column("pos").to_numpy().astype(np.int64), t.column("back").to_numpy().astype(np.int64), size, m
+    h = t.column("h").to_numpy()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    for x in doc.flatten():
+        x = x.to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return h.view(U64), np.cumsum(new), t.column("pos").to_numpy().astype(np.int64), t.column("back").to_numpy().astype(np.int64), size, m
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -184,5 +223,4 @@ def merged(spans: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", (reach.isNull() | (F.col("start_word") > reach)).cast("int")).withColumn("island", F.sum("new").over(w))
-    out = islands.groupBy("doc", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "start_word", "end_word")
+    return islands.groupBy("doc", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")

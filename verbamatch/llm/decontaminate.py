@@ -7,30 +7,37 @@ pattern's suffix selects a bucket of test strings, which are compared directly.
 The table is driven for thousands of text segments at once with numpy, so each step
 is one gather instead of one Python iteration.
 
-The benchmark's size doesn't depend on the corpus; its compiled tables are checked
-against ``max_pattern_bytes`` and, beyond it, cut into shards that are searched one
-after another in the same scan.
-
-Defined results: a null or empty text has no match; a null, empty or wordless item
-gives no test string; repeated items each report; equal rows of documents report
-each; nulls in other columns don't matter.
+The benchmark's size doesn't depend on the corpus, but is checked: it comes to the driver in
+blocks of about ``BLOCK_BYTES``, each searched in a scan of its own, and its compiled tables
+are cut into shards of ``max_pattern_bytes``, searched one after another in the same scan.
+Each Python worker compiles a block's tables once.
+
+Defined results: a null or empty text has no match; texts of any length are searched whole;
+a null, empty or wordless item gives no test string; repeated items each report; equal rows
+of documents report each; empty tables give no match; nulls in other columns don't matter,
+nor do extra columns of any name, which `drop_leaks` carries along.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, table
+from ._spark import fresh, own_columns, table
 from ._text import U64, WORD_SQL, chunks, fold, mix, normal_text, strings, words
 
 NGRAM = 13
 BLOCK = 8
 SEGMENT = 2048
+BLOCK_BYTES = 256 << 20
+PATTERN_BYTES = 64 << 20
 
 
 class WuManber:
@@ -140,12 +147,27 @@ def compile_shards(patterns: list[bytes], max_pattern_bytes: int) -> list[tuple[
     return out
 
 
-def _benchmark(bench: DataFrame, ngram: int) -> tuple[list[int | None], list[bytes], list[list[int]]]:
-    got = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toArrow()
-    ids = got.column(0).to_pylist()
-    found = test_strings(got.column(1).to_pylist(), ngram)
-    patterns = sorted(found, key=lambda p: (len(p), p))
-    return ids, patterns, [found[p] for p in patterns]
+def blocks(bench: DataFrame, ngram: int) -> Iterator[tuple[list[int | None], list[bytes], list[list[int]]]]:
+    """(item ids, test strings by length, items of each test string), of about BLOCK_BYTES of the benchmark at a time."""
+    own = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text"))
+    n = 1 + (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+    for k in range(n):
+        got = (own if n == 1 else own.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)).toArrow()
+        found = test_strings(got.column(1).to_pylist(), ngram)
+        patterns = sorted(found, key=lambda p: (len(p), p))
+        yield got.column(0).to_pylist(), patterns, [found[p] for p in patterns]
+
+
+_compiled: dict[str, list[tuple[WuManber, int]]] = {}
+
+
+def compiled(name: str, patterns: Broadcast, max_pattern_bytes: int) -> list[tuple[WuManber, int]]:
+    """The searchers of a block of patterns, compiled at their first use in a worker; the last two blocks stay."""
+    if name not in _compiled:
+        while len(_compiled) > 1:
+            _compiled.pop(next(iter(_compiled)))
+        _compiled[name] = compile_shards(patterns.value, max_pattern_bytes)
+    return _compiled[name]
 
 
 def _scan(column: pa.Array, shards: list[tuple[WuManber, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,41 +181,50 @@ def _scan(column: pa.Array, shards: list[tuple[WuManber, int]]) -> Iterator[tupl
                 yield lo, np.searchsorted(heads, ends, "left") - 1, which + base
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, ngram: int = NGRAM, max_pattern_bytes: int = 64 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, ngram: int = NGRAM, max_pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """(doc_id, item_id, hits) for every document that holds a test string; hits: matching word positions."""
-    ids, patterns, items = _benchmark(bench, ngram)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = compile_shards(patterns, max_pattern_bytes)
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            count: dict[tuple[int, int], int] = {}
-            for lo, rows, which in _scan(batch.column(1), shards):
-                for r, p in zip(rows.tolist(), which.tolist()):
-                    for item in items[p]:
-                        count[lo + r, item] = count.get((lo + r, item), 0) + 1
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array([doc_ids[r] for r, _ in count], pa.int64()), pa.array([ids[i] for _, i in count], pa.int64()), pa.array(list(count.values()), pa.int64())], names=["doc_id", "item_id", "hits"])
-
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, item_id long, hits long")
 
+    def search(ids: list[int | None], patterns: list[bytes], items: list[list[int]]) -> DataFrame:
+        name, context = uuid.uuid4().hex, docs.sparkSession.sparkContext
+        sent, shared = context.broadcast(patterns), context.broadcast((ids, items))
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, ngram: int = NGRAM, max_pattern_bytes: int = 64 << 20) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shards, (ids, items) = compiled(name, sent, max_pattern_bytes), shared.value
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                count: dict[tuple[int, int], int] = {}
+                for lo, rows, which in _scan(batch.column(1), shards):
+                    for r, p in zip(rows.tolist(), which.tolist()):
+                        for item in items[p]:
+                            count[lo + r, item] = count.get((lo + r, item), 0) + 1
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_ids[r] for r, _ in count], pa.int64()), pa.array([ids[i] for _, i in count], pa.int64()), pa.array(list(count.values()), pa.int64())], names=["doc_id", "item_id", "hits"])
+
+        return own.mapInArrow(run, "doc_id long, item_id long, hits long")
+
+    return reduce(DataFrame.union, (search(*block) for block in blocks(bench, ngram)))
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, ngram: int = NGRAM, max_pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """The documents without a test string, in one scan: no join, so null and repeated ids are safe."""
-    _, patterns, _ = _benchmark(bench, ngram)
     text = fresh(docs, "text_")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = compile_shards(patterns, max_pattern_bytes)
-        for batch in batches:
-            bad = np.zeros(batch.num_rows, bool)
-            for lo, rows, _ in _scan(batch.column(batch.num_columns - 1), shards):
-                bad[lo + rows] = True
-            kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-            yield kept.filter(pa.array(~bad))
+    def search(rows: DataFrame, block: tuple) -> DataFrame:
+        name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block[1])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shards = compiled(name, sent, max_pattern_bytes)
+            for batch in batches:
+                bad = np.zeros(batch.num_rows, bool)
+                for lo, found, _ in _scan(batch.column(batch.num_columns - 1), shards):
+                    bad[lo + found] = True
+                kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+                yield kept.filter(pa.array(~bad))
+
+        return rows.select(*own_columns(rows), F.col("text").cast("string").alias(text)).mapInArrow(run, docs.schema)
 
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return reduce(search, blocks(bench, ngram), docs)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,29 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line goes if an earlier one (smaller doc_id, then smaller line number) lies within
-the edit bound: equal, or for lines of ``MIN_NEAR`` characters at least within
-``max_edits`` edits (Levenshtein, in characters).  Two lines within k edits share a
-variant with at most k characters deleted (as in FastSS, Bocek et al., 2007), so
-variants are emitted as hashed keys, equal keys are joined, and each pair's distance is
-verified.
+the edit bound: ``max_edits`` edits (Levenshtein, in characters) and ``MAX_RATE`` of the
+longer line's characters.  Two lines within one edit share a variant with at most one
+character deleted (as in FastSS, Bocek et al., 2007), so variants are emitted as hashed
+keys, equal keys are joined, and each pair's distance is verified.  The bound is 0 or 1:
+a line of n characters has n**k / k! variants of k deletions, which long lines rule out
+for more.
 
 Emitting all variants of all lines would cost a row for each character of the corpus.
-Lines are first reduced to distinct ones; then, for the bound of 1, only lines that
-share a half with another one are let through: one edit leaves the first or the
-second half as it was, so each line is keyed by both halves, cut as for its own length
-and as for one character less.  This loses no pair.
+Lines are first reduced to distinct ones; then only lines that share a half with another
+one are let through: one edit leaves the first or the second half as it was, so each
+line is keyed by both halves, cut as for its own length and as for one character less.
+This loses no pair.  Only documents that hold such lines are shuffled, to fetch their
+texts, and `drop_lines` shuffles only documents that lose a line.
 
 White space around a line doesn't count, and lines of white space only are never
 compared or removed.
 
 Defined results: null and empty texts have no lines; ids that are null come after all
-others; rows that share a doc_id are one document: equal places in them are the same
-place; lines of any length are compared whole; empty tables give empty results.
-`drop_lines` keeps all columns, corrects n_chars where there is one, and drops a
+others; rows that share a doc_id and the text are one document, and of rows that share
+a doc_id only, the one with the smaller hash of its text comes first; of equal lines in
+one document the first stays; lines and texts of any length are compared whole; empty
+tables give empty results; extra columns of any name are carried along and not looked
+at.  `drop_lines` keeps all columns, corrects n_chars where there is one, and drops a
 document only if it had lines and all are gone.
 """
 
@@ -29,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import as_id, fresh, materialise, node, table
+from ._spark import NODE, as_id, discard, fresh, likely, marked, materialise, node, own_columns, table
 from ._text import U64, chunks, mix, powers
 
 MAX_EDITS = 1
-MIN_NEAR = 20
+MAX_RATE = 0.1
+LEAST = 9  # characters of a line that can be within one edit and MAX_RATE of another
 SPACE = b" \t\r\x0b\x0c"
 
 _BLANK = np.zeros(256, bool)
@@ -110,107 +115,81 @@ class Lines:
         return np.unique(np.concatenate([self.hash(np.array([s]), np.array([e])), one]))
 
 
-def variants(text: str, edits: int) -> set[str]:
-    """The text and all it becomes by deleting up to `edits` characters."""
-    out = layer = {text}
-    for _ in range(edits):
-        layer = {t[:i] + t[i + 1 :] for t in layer for i in range(len(t))}
-        out = out | layer
-    return out
-
-
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc = batch.column(0).to_numpy()
         for lo, _, raw, offs in chunks(batch.column(1)):
             x = Lines(raw, offs)
             if not len(x.text):
                 continue
-            near = x.chars >= MIN_NEAR
+            near = x.chars >= LEAST
             keys = x.halves(np.flatnonzero(near)).view(np.int64).ravel()
             cut = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
-            cols = [x.hash(x.start, x.end).view(np.int64), x.second().view(np.int64), doc[lo + x.text], x.number.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys))], names=["h1", "h2", "doc", "line", "halves"])
+            cols = [pa.array(x.hash(x.start, x.end).view(np.int64)), pa.array(x.second().view(np.int64)), batch.column(0).take(pa.array(lo + x.text)), pa.array(x.number.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(cut), pa.array(keys))], names=["h1", "h2", "doc", "line", "halves"])
 
 
 def earlier_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(doc, line, edits, earlier_doc, earlier_line) of each line to go: the earliest one within the bound, and whether it is equal (0) or not (1 or more)."""
+    """(doc, line, edits, earlier_doc, earlier_line) of each line to go: the earliest one within the bound, and whether it is equal (0) or not (1)."""
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits must be 0 or 1")
     own = docs.select(node().alias("doc"), F.col("text").cast("string").alias("text"))
-    lines = materialise(own.mapInArrow(_keys, "h1 long, h2 long, doc long, line int, halves array<long>"), "lines")
-    place = F.struct("doc", "line")
-    same = Window.partitionBy("h1", "h2")
-    known = lines.select("h1", "h2", "doc", "line", F.min(place).over(same).alias("first"), F.size("halves").alias("n_halves"))
+    lines = materialise(own.mapInArrow(_keys, f"h1 long, h2 long, doc {NODE}, line int, halves array<long>"), "lines")
+    place, same = F.struct("doc", "line"), ["h1", "h2"]
+    heads = lines.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("halves").alias("halves"))
     if max_edits == 0:
-        best = None
-    else:
-        known = materialise(known, "known")
-        heads = known.filter(F.col("n_halves") > 0).filter(place == F.col("first")).select("h1", "h2", "doc", "line").distinct()
-        if max_edits == 1:
-            by_key = Window.partitionBy("key")
-            shared = (
-                lines.select("h1", "h2", F.explode("halves").alias("key"))
-                .distinct()
-                .withColumn("least", F.min("h1").over(by_key))
-                .withColumn("most", F.max("h1").over(by_key))
-                .filter("least < most")
-                .select("h1", "h2")
-                .distinct()
-            )
-            heads = heads.join(shared, ["h1", "h2"])
-        best = _near(own, heads, max_edits)
-    if best is not None:
-        known = known.join(best, ["h1", "h2"], "left").withColumn("best", F.least(F.col("first"), F.col("near")))
+        late = materialise(heads.filter("first < last").select(*same, F.col("first").alias("best"), F.lit(0).alias("edits")), "late")
     else:
-        known = known.withColumn("best", F.col("first"))
-    gone = known.filter(place > F.col("best"))
-    near = F.lit(0) if best is None else F.when(F.col("best") == F.col("first"), 0).otherwise(F.col("near_edits"))
-    return gone.select("doc", "line", near.cast("int").alias("edits"), F.col("best.doc").alias("earlier_doc"), F.col("best.line").alias("earlier_line"))
+        heads = materialise(heads, "heads")
+        near = _near(own, heads)
+        best = heads.select(*same, "first", "last").join(near, same, "left")
+        best = best.select(*same, "last", F.least("first", "near").alias("best"), F.when(F.col("near") < F.col("first"), 1).otherwise(0).alias("edits"))
+        late = materialise(best.filter("best < last").drop("last"), "late")
+        discard(heads)
+    gone = likely(lines.select(*same, "doc", "line"), same, late).join(late, same).filter(place > F.col("best"))
+    return gone.select("doc", "line", "edits", F.col("best.doc").alias("earlier_doc"), F.col("best.line").alias("earlier_line"))
 
 
-def _near(own: DataFrame, heads: DataFrame, max_edits: int) -> DataFrame:
-    """(h1, h2, near, near_edits): the earliest other line within the bound of each of the distinct lines `heads`."""
+def _near(own: DataFrame, heads: DataFrame) -> DataFrame:
+    """(h1, h2, near): the earliest other line within one edit of each of the distinct lines `heads`."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = [{x["line"]: (x["h1"], x["h2"]) for x in xs} for xs in batch.column(2).to_pylist()]
             for lo, _, raw, offs in chunks(batch.column(1)):
                 x = Lines(raw, offs)
-                h = x.hash(x.start, x.end).view(np.int64)
                 rows: list[tuple] = []
-                for k in range(len(x.text)):
-                    got = wanted[lo + x.text[k]].get(int(x.number[k]))
-                    # Rows that share a doc_id may differ: the hash says whether this is the line.
-                    if got is None or got[0] != h[k]:
-                        continue
-                    text = raw[x.start[k] : x.end[k]].tobytes().decode()
-                    if max_edits == 1:
-                        keys = x.deletions(k).view(np.int64)
-                    else:
-                        keys = np.array([hash_text(v) for v in variants(text, max_edits)], np.int64)
-                    rows.append((*got, batch.column(0)[lo + x.text[k]].as_py(), int(x.number[k]), text, keys))
+                for k, text, number in zip(range(len(x.text)), x.text.tolist(), x.number.tolist()):
+                    got = wanted[lo + text].get(number)
+                    if got is not None:
+                        rows.append((*got, lo + text, number, raw[x.start[k] : x.end[k]].tobytes().decode(), x.deletions(k).view(np.int64)))
                 if rows:
                     c = list(zip(*rows))
                     cut = np.concatenate([[0], np.cumsum([len(y) for y in c[5]])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4]), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(c[5])))], names=["h1", "h2", "doc", "line", "text", "keys"])
-
-    asked = heads.groupBy("doc").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("lines"))
-    found = materialise(own.join(asked, "doc").select("doc", "text", "lines").mapInArrow(fetch, "h1 long, h2 long, doc long, line int, text string, keys array<long>"), "variants")
-    keyed = found.select("h1", "h2", F.explode("keys").alias("key"))
+                    lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(c[5])))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), batch.column(0).take(pa.array(c[2])), pa.array(c[3], pa.int32()), pa.array(c[4]), lists], names=["h1", "h2", "doc", "line", "text", "keys"])
+
+    same = ["h1", "h2"]
+    halves = heads.filter(F.size("halves") > 0).select(*same, "first", F.explode("halves").alias("key"))
+    # The least and the greatest hash tell whether a key has two lines: sums that combine before the shuffle.
+    shared = materialise(halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "halves")
+    asked = likely(halves, ["key"], shared).join(shared, "key", "left_semi").select(*same, "first").distinct()
+    asked = materialise(asked.groupBy("first.doc").agg(F.collect_list(F.struct("first.line", *same)).alias("lines")), "asked")
+    found = likely(own, ["doc"], asked).join(asked, "doc").select("doc", "text", "lines")
+    # A repeated row brings the same lines again.
+    found = materialise(found.mapInArrow(fetch, f"h1 long, h2 long, doc {NODE}, line int, text string, keys array<long>").dropDuplicates(same), "variants")
+    discard(shared, asked)
+    keyed = found.select(*same, F.explode("keys").alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "variant-keys")
+    keyed = materialise(likely(keyed, ["key"], shared).join(shared, "key", "left_semi"), "keyed")
     x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.h1 < y.h1").select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("h1", "h2"))).distinct()
-    texts = found.select("h1", "h2", F.struct("doc", "line").alias("place"), "text")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.h1 < y.h1").select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in same)).distinct()
+    texts = found.select(*same, F.struct("doc", "line").alias("place"), "text")
     for s in "xy":
         pairs = pairs.join(texts.select(*(F.col(c).alias(f"{s}_{c}") for c in texts.columns)), [f"{s}_h1", f"{s}_h2"])
-    pairs = pairs.withColumn("edits", F.levenshtein("x_text", "y_text", max_edits)).filter("edits >= 0")
-    both = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{s}_h1").alias("h1"), F.col(f"{s}_h2").alias("h2"), F.struct(F.col(f"{o}_place").alias("place"), F.col("edits").alias("edits")).alias("at")) for s, o in ("xy", "yx")))).alias("e")).select("e.*")
-    return both.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "h2", F.col("at.place").alias("near"), F.col("at.edits").alias("near_edits"))
-
-
-def hash_text(text: str) -> int:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    pw, _ = powers(len(raw) + 1)
-    total = ((raw.astype(U64) + U64(1)) * pw[: len(raw)]).sum(dtype=U64)
-    return int(mix(np.array([total + U64(len(raw))], U64)).view(np.int64)[0])
+    longer = F.greatest(F.length("x_text"), F.length("y_text"))
+    pairs = pairs.filter((F.levenshtein("x_text", "y_text", 1) == 1) & (longer * MAX_RATE >= 1))
+    both = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{s}_h1").alias("h1"), F.col(f"{s}_h2").alias("h2"), F.col(f"{o}_place").alias("at")) for s, o in ("xy", "yx")))).alias("e")).select("e.*")
+    return both.groupBy(*same).agg(F.min("at").alias("near"))
 
 
 def find_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -221,9 +200,12 @@ def find_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
 def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """The documents without the lines that `find_lines` names."""
-    gone = earlier_lines(docs, max_edits).groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    key, lines = fresh(docs, "doc_"), fresh(docs, "gone_")
-    wide = docs.withColumn(key, node()).join(gone.select(F.col("doc").alias(key), F.col("gone").alias(lines)), key, "left").select(*docs.columns, lines)
+    gone = materialise(earlier_lines(docs, max_edits).groupBy("doc").agg(F.collect_set("line").alias("gone")), "gone")
+    key, lines, mark = fresh(docs, "doc_"), fresh(docs, "gone_"), fresh(docs, "mark_")
+    gone = gone.select(F.col("doc").alias(key), F.col("gone").alias(lines))
+    wide = marked(docs.withColumn(key, node()), [key], gone, mark)
+    whole = wide.filter(~F.col(mark)).select(*own_columns(docs))
+    wide = wide.filter(F.col(mark)).join(gone, key, "left").select(*own_columns(docs), lines)
     where = [c.lower() for c in docs.columns].index("text")
     counts = [i for i, c in enumerate(docs.columns) if c.lower() == "n_chars"]
 
@@ -246,7 +228,7 @@ def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
                 cols[i] = pa.array(s, cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return wide.mapInArrow(run, docs.schema)
+    return whole.union(wide.mapInArrow(run, docs.schema))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,9 +244,9 @@ u AS (SELECT doc_id, unnest(l) AS x, unnest(generate_series(0, len(l) - 1)) AS l
 n AS (SELECT doc_id, line_no, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM u),
 o AS (SELECT * FROM n WHERE x <> ''),
 f AS (SELECT x, doc_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, line_no) AS r FROM o) WHERE r = 1),
-v AS (SELECT x, md5_number(left(x, i - 1) || substr(x, i + 1)) AS k FROM f, LATERAL (SELECT unnest(generate_series(1, length(x) + 1)) AS i) WHERE length(x) >= {MIN_NEAR}),
+v AS (SELECT x, md5_number(left(x, i - 1) || substr(x, i + 1)) AS k FROM f, LATERAL (SELECT unnest(generate_series(1, length(x) + 1)) AS i) WHERE length(x) >= {LEAST}),
 p AS (SELECT DISTINCT a.x AS x, b.x AS y FROM v a JOIN v b ON a.k = b.k AND a.x <> b.x),
-w AS (SELECT x, y FROM p WHERE abs(length(x) - length(y)) <= 1 AND len(list_filter(generate_series(1, greatest(length(x), length(y))),
+w AS (SELECT x, y FROM p WHERE abs(length(x) - length(y)) <= 1 AND greatest(length(x), length(y)) >= {round(1 / MAX_RATE)} AND len(list_filter(generate_series(1, greatest(length(x), length(y))),
       lambda i: left(x, i - 1) = left(y, i - 1) AND (substr(x, i + 1) = substr(y, i + 1) OR substr(x, i + 1) = substr(y, i) OR substr(x, i) = substr(y, i + 1)))) > 0),
 c AS (SELECT f.x, f.doc_id AS d, f.line_no AS i, 0 AS edits FROM f
       UNION ALL SELECT w.x, f.doc_id, f.line_no, 1 FROM w JOIN f ON f.x = w.y),

@@ -8,9 +8,10 @@ below the next rank: after one step for long texts.  All texts of a batch take e
 step together in numpy.
 
 Equal texts are first reduced to one node each.  Signatures are cut into ``BANDS`` bands,
-and a text is a candidate with those that share a band.  Verification is exact on
-shingle sets.  All pairs of a bucket would be quadratic in a group of copies, but a
-group needs only enough pairs to connect it:
+and a text is a candidate with those that share a band: with 40 bands of 4 places, 4 in
+1,000 pairs at the threshold of 0.6 share none, and of pairs at 0.7, 2 in 100,000.  Verification compares sets of 64-bit
+shingle hashes, made only for texts that have a candidate.  All pairs of a bucket would be
+quadratic in a group of copies, but a group needs only enough pairs to connect it:
 
 1. each member is verified against the least node of its bucket;
 2. what is still apart in a bucket after that is verified pair by pair.
@@ -18,13 +19,15 @@ group needs only enough pairs to connect it:
 Pairs that (2) leaves out are already in one group, so the groups are those that
 verifying all candidate pairs would give.  Groups are connected components, found by
 alternating large-star and small-star steps (Kiveris et al., 2014), and the document
-with the least doc_id stays.
+with the least doc_id stays.  Buckets and hubs are reduced by aggregations, which combine
+before the shuffle, and joined back; no task has to hold one.
 
 Defined results: texts without words (null, empty) are compared with nothing and stay;
-texts of fewer words than a shingle are equal only to the same words; ids that are
-null come last, and each distinct such text is a document of its own; rows that share
-a doc_id are one document, of which `keep_first` keeps one row; empty tables give
-empty results.
+texts of fewer words than a shingle are equal only to the same words; texts of any length
+are taken whole; ids that are null come last; rows that share a doc_id and the text are
+one document, of which `keep_first` keeps one row, and rows that share a doc_id only are
+documents of their own; ties of the least doc_id go to the smaller hash of the text; empty
+tables give empty results; extra columns of any name are carried along and not looked at.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import as_id, fresh, materialise, node, table
+from ._spark import NODE, as_id, discard, fresh, likely, marked, materialise, node, own_columns, table
 from ._text import U64, WORD_SQL, Words, chunks, grams, mix, within, words
 
 SHINGLE = 3
-SIZE = 128
-BANDS = 32
+SIZE = 160
+BANDS = 40
 THRESHOLD = 0.6
 
 
@@ -122,7 +125,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def sketches(own: DataFrame) -> DataFrame:
-    """(node, c1, c2, keys) of every text that has words."""
+    """(c1, c2, node, keys) of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,27 +136,28 @@ def sketches(own: DataFrame) -> DataFrame:
                 has = np.flatnonzero(np.diff(w.first) > 0)
                 flat = pa.array(keys[has].view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(has)), pa.array(a[has].view(np.int64)), pa.array(b[has].view(np.int64)), lists], names=["node", "c1", "c2", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[has].view(np.int64)), pa.array(b[has].view(np.int64)), batch.column(0).take(pa.array(lo + has)), lists], names=["c1", "c2", "node", "keys"])
 
-    return own.mapInArrow(run, "node long, c1 long, c2 long, keys array<long>")
+    return own.mapInArrow(run, f"c1 long, c2 long, node {NODE}, keys array<long>")
 
 
 def shingle_sets(own: DataFrame) -> DataFrame:
-    """(node, shingles): the sorted distinct 32-bit shingle hashes of every text that has words."""
+    """(node, shingles): the sorted distinct shingle hashes of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, offs in chunks(batch.column(1)):
+            for lo, _, raw, offs in chunks(batch.column(1)):
                 text, h = shingles(words(raw, offs))
-                key = np.unique((text.astype(U64) << U64(32)) | (h >> U64(32)))
-                text = (key >> U64(32)).astype(np.int64)
-                has, count = np.unique(text, return_counts=True)
-                cut = np.concatenate([[0], np.cumsum(count)]) * 4
-                flat = key.astype(np.uint32)
-                sets = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(has)), sets], names=["node", "shingles"])
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                has, count = np.unique(text[new], return_counts=True)
+                cut = np.concatenate([[0], np.cumsum(count)]) * 8
+                sets = pa.Array.from_buffers(pa.large_binary(), len(has), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(h[new]))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + has)), sets.cast(pa.binary())], names=["node", "shingles"])
 
-    return own.mapInArrow(run, "node long, shingles binary")
+    return own.mapInArrow(run, f"node {NODE}, shingles binary")
 
 
 def verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
@@ -163,7 +167,7 @@ def verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 if min(len(s), len(t)) < (threshold - 1e-12) * max(len(s), len(t)):
                     keep.append(False)
                     continue
@@ -173,10 +177,14 @@ def verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
                 keep.append(inter >= threshold * (len(both) - inter) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = shingle_sets(own)
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    # A repeated row has the same text again.
+    sets = materialise(shingle_sets(likely(own, ["node"], asked).dropDuplicates(["node"])), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
+    out = materialise(both.select("a", "b", "s", "t").mapInArrow(run, f"a {NODE}, b {NODE}"), "verified")
+    discard(asked, sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,40 +195,50 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
-        before = state
-        by_u = Window.partitionBy("u")
+        before, last = state, now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(by_u))
-        small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = materialise(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = materialise(small.filter("u <> v").distinct(), "edges")
+        discard(large, last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
 def group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of every document in a group of two or more."""
     own = nodes(docs)
-    seen = sketches(own).withColumn("rep", F.min("node").over(Window.partitionBy("c1", "c2")))
-    seen = materialise(seen.select("node", "rep", F.when(F.col("node") == F.col("rep"), F.col("keys")).alias("keys")), "sketches")
-    copies = seen.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    members = seen.select("node", F.explode("keys").alias("key")).distinct()
-    by_key = Window.partitionBy("key")
-    buckets = members.select("key", "node", F.min("node").over(by_key).alias("least"), F.max("node").over(by_key).alias("most")).filter("least < most")
-    buckets = materialise(buckets.select("key", "node", "least"), "buckets")
-    first = materialise(verified(buckets.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), own, threshold), "pairs")
+    seen = materialise(sketches(own), "sketches")
+    first = F.min(F.struct("node", "keys"))
+    kinds = materialise(seen.groupBy("c1", "c2").agg(first.alias("first"), F.max("node").alias("last")).select("c1", "c2", F.col("first.node").alias("rep"), "last", F.col("first.keys").alias("keys")), "kinds")
+    several = kinds.filter("rep < last").select("c1", "c2", "rep")
+    copies = materialise(seen.select("c1", "c2", "node").join(several, ["c1", "c2"]).filter("node <> rep").select("node", "rep").distinct(), "copies")
+    members = kinds.select(F.col("rep").alias("node"), F.xxhash64("rep").alias("nh"), F.explode("keys").alias("key"))
+    # The least and the greatest hash tell whether a bucket has two nodes: sums that combine before the shuffle.
+    shared = materialise(members.groupBy("key").agg(F.min("nh").alias("low"), F.max("nh").alias("high")).filter("low < high").select("key"), "shared")
+    buckets = materialise(likely(members, ["key"], shared).join(shared, "key", "left_semi").select("key", "node"), "buckets")
+    discard(seen, kinds, shared)
+    least = buckets.groupBy("key").agg(F.min("node").alias("least"))
+    tried = materialise(buckets.join(least, "key").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    first = verified(tried, own, threshold)
     found = materialise(components(first), "groups")
-    placed = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    span = placed.withColumn("low", F.min("root").over(by_key)).withColumn("high", F.max("root").over(by_key)).filter("low < high").select("key", "node", "root")
-    span = materialise(span, "apart")
+    placed = materialise(buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    span = materialise(placed.join(split, "key", "left_semi"), "apart")
+    discard(buckets, placed)
     x, y = span.alias("x"), span.alias("y")
     apart = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     # The pairs with the bucket's least node have been looked at already.
-    tried = buckets.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     rest = materialise(apart.join(tried, ["a", "b"], "left_anti"), "rest")
-    edges = first.union(copies)
+    discard(tried, span)
     if not rest.isEmpty():
-        edges = edges.union(verified(rest, own, threshold))
-    return components(edges)
+        found = materialise(components(first.union(verified(rest, own, threshold))), "groups")
+    # Copies stand beside the node that represents them, so they needn't take part in the search for components.
+    roots = copies.select(F.col("rep").alias("node")).distinct().join(found, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+    later = copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep").select("node", "root")
+    return roots.union(later)
 
 
 def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -231,11 +249,13 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without the later ones of each group, and with one row for each document."""
-    gone = materialise(group(docs, threshold).filter("node <> root").select("node"), "gone")
-    own, rank = fresh(docs, "node_"), fresh(docs, "rank_")
-    left = docs.withColumn(own, node()).join(gone.withColumnRenamed("node", own), own, "left_anti")
-    one = Window.partitionBy(own).orderBy(F.col("text").asc_nulls_first())
-    return left.withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).select(*docs.columns)
+    key, mark = fresh(docs, "node_"), fresh(docs, "mark_")
+    gone = materialise(group(docs, threshold).filter("node <> root").select(F.col("node").alias(key)), "gone")
+    named = docs.withColumn(key, node())
+    again = named.groupBy(key).agg(F.count("*").alias(mark)).filter(F.col(mark) > 1).select(key)
+    wide = marked(named, [key], materialise(gone.union(again), "touched"), mark)
+    left = wide.filter(F.col(mark)).join(gone, key, "left_anti").dropDuplicates([key])
+    return wide.filter(~F.col(mark)).select(*own_columns(docs)).union(left.select(*own_columns(docs)))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

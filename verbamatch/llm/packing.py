@@ -1,19 +1,24 @@
 """Packing in space-filling-curve order.
 
 Every document becomes a hashed bag-of-words vector (feature hashing with signs,
-log-damped counts, unit length), a fixed random matrix projects it to ``DIMS``
-dimensions, each coordinate is cut to ``BITS`` bits and the cell's place on the
-Hilbert curve (Skilling, 2004) is the document's key.  A range sort by the key lays
-the corpus out along the curve, and the curve is cut into sequences of ``context``
-words: neighbours on the curve share a sequence, nothing is padded but the last.
-
-The running offset is global but needs no single task: sorted partitions are
-checkpointed, their totals (one row a partition) come to the driver, and each
-partition adds its base to its own running sum.
-
-Defined results: a null or empty text has no words, key 0 and one piece of length 0
-at its place on the curve; ties of the key go by doc_id (nulls first); repeated rows
-are packed as often as they occur; an empty table gives no pieces.
+log-damped counts, unit length), a fixed random matrix with columns of unit length projects
+it to ``DIMS`` dimensions, each coordinate (within [-1, 1], whatever the text) is cut to
+``BITS`` bits and the cell's place on the Hilbert curve (Skilling, 2004) is the document's
+key.  A range sort by the key lays the corpus out along the curve, and the curve is cut
+into sequences of ``context`` token ids: neighbours on the curve share a sequence, nothing
+is padded but the last.  Ids are those of `token_store`'s vocabulary, 16 bits each, low byte
+first; each document that has any is followed by ``END``.
+
+Texts are tokenized once and written with their keys.  The range sort moves keys and
+lengths only.  The running offset is global but needs no single task: sorted partitions
+are checkpointed, their totals (one row a partition) come to the driver, and each
+partition adds its base to its own running sum.  Offsets then join the ids by row.
+
+Defined results: a null or empty text has no ids, key 0 and one piece of length 0 at its
+place on the curve; a text without words has key 0; texts of any length are packed whole,
+over as many sequences as they need; ties of the key go by doc_id (nulls first), then by a
+hash of the text; repeated rows are packed as often as they occur; an empty table gives no
+pieces; extra columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -25,18 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_dir, table
+from ._spark import materialise, shared_dir, table
 from ._text import U64, chunks, mix, words
+from .token_store import VOCABULARY, tokenizer
 
 CONTEXT = 2048
 FEATURES = 256
 DIMS = 3
 BITS = 16
 SEED = 7
+END = 50256  # the vocabulary leaves this id free
 
 
 def projection(seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((FEATURES, DIMS)) / np.sqrt(DIMS)
+    m = np.random.default_rng(seed).standard_normal((FEATURES, DIMS))
+    return m / np.sqrt((m * m).sum(0))
 
 
 def vectors(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -50,9 +58,8 @@ def vectors(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def cells(points: np.ndarray) -> np.ndarray:
-    """Coordinates in [-1, 1] to unsigned cells of BITS bits; beyond that they are clipped."""
-    top = (1 << BITS) - 1
-    return np.clip(np.floor((np.round(points, 9) + 1) / 2 * top), 0, top).astype(np.int64)
+    """Coordinates in [-1, 1] to unsigned cells of BITS bits."""
+    return np.floor((np.round(points, 9) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
 
 
 def hilbert(x: np.ndarray) -> np.ndarray:
@@ -84,28 +91,30 @@ def hilbert(x: np.ndarray) -> np.ndarray:
     return key
 
 
-def curve_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, curve_key, n_words) of every document."""
+def curve_keys(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, h, curve_key, n_tokens, ids) of every document; h: hash of its text."""
     matrix = projection()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_tokenizer = tokenizer(vocabulary)
         for batch in batches:
-            keys, lengths = [], []
-            for lo, hi, raw, offs in chunks(batch.column(1)):
+            for lo, hi, raw, offs in chunks(batch.column(2)):
                 w = words(raw, offs)
-                n = np.diff(w.first)
-                key = hilbert(cells(vectors(w.hash, w.doc, hi - lo) @ matrix))
-                keys.append(np.where(n > 0, key, 0))
-                lengths.append(n)
-            if keys:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(keys)), pa.array(np.concatenate(lengths))], names=["doc_id", "curve_key", "n_words"])
+                key = np.where(np.diff(w.first) > 0, hilbert(cells(vectors(w.hash, w.doc, hi - lo) @ matrix)), 0)
+                ids, at = own_tokenizer.many(raw, offs)
+                size = np.diff(at)
+                has = size > 0
+                ids = np.insert(ids, at[1:][has], END)
+                at = at + np.concatenate([[0], np.cumsum(has)])
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(2 * at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(key), pa.array(size + has), binary], names=["doc_id", "h", "curve_key", "n_tokens", "ids"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, curve_key long, n_words long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, h long, curve_key long, n_tokens long, ids binary")
 
 
 def cut(start: np.ndarray, length: np.ndarray, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces (row, sequence, place in the sequence, words) of documents lying at start on the line."""
+    """Pieces (row, sequence, place in the sequence, tokens) of documents lying at start on the line."""
     first, last = start // context, np.maximum(start + length - 1, start) // context
     n = last - first + 1
     row = np.repeat(np.arange(len(start)), n)
@@ -115,39 +124,54 @@ def cut(start: np.ndarray, length: np.ndarray, context: int) -> tuple[np.ndarray
     return row, seq, lo - seq * context, hi - lo
 
 
-def pack(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """Pieces: doc_id, seq_id, seq_start (place in the sequence), doc_start (word of the document), n_words, curve_key."""
-    spark = docs.sparkSession
-    shared_dir(spark)
-    placed = (
-        curve_keys(docs)
-        .repartitionByRange("curve_key", "doc_id")
-        .sortWithinPartitions("curve_key", "doc_id", "n_words")
-        .withColumn("part", F.spark_partition_id())
-        .checkpoint()
-    )
-    totals = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n_words").alias("n")).collect())
+def pack(docs: DataFrame, context: int = CONTEXT, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Pieces: doc_id, seq_id, seq_start (place in the sequence), doc_start (token of the document), n_tokens, curve_key, ids."""
+    shared_dir(docs.sparkSession)
+    kept = materialise(curve_keys(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "curve")
+    order = ["curve_key", "doc_id", "h", "row"]
+    placed = kept.select(*order, "n_tokens").repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n_tokens", F.spark_partition_id().alias("part")).checkpoint()
+    # One row a partition.
+    totals = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     base, run_to = {}, 0
     for part, n in totals:
         base[part] = run_to
         run_to += n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            length = batch.column("n_words").to_numpy()
+            length = batch.column(1).to_numpy()
             if at is None:
-                at = base[batch.column("part")[0].as_py()]
-            start = at + np.cumsum(length) - length
+                at = base[batch.column(2)[0].as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at + np.cumsum(length) - length)], names=["row", "start"])
             at += int(length.sum())
-            row, seq, place, n = cut(start, length, context)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start = batch.column("start").to_numpy()
+            row, seq, place, n = cut(start, batch.column("n_tokens").to_numpy(), context)
             doc_start = seq * context + place - start[row]
+            # The pieces of a batch follow one another as its documents' ids do.
+            whole = batch.column("ids").cast(pa.large_binary())
+            _, held, flat = whole.buffers()
+            ends = np.frombuffer(held, np.int64)[whole.offset] + np.concatenate([[0], np.cumsum(2 * n)])
+            ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), flat]).cast(pa.binary())
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), pa.array(seq), pa.array(place), pa.array(doc_start), pa.array(n), batch.column("curve_key").take(take)], names=["doc_id", "seq_id", "seq_start", "doc_start", "n_words", "curve_key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), pa.array(seq), pa.array(place), pa.array(doc_start), pa.array(n), batch.column("curve_key").take(take), ids], names=["doc_id", "seq_id", "seq_start", "doc_start", "n_tokens", "curve_key", "ids"])
+
+    starts = placed.mapInArrow(offsets, "row long, start long")
+    return kept.drop("h").join(starts, "row").mapInArrow(pieces, "doc_id long, seq_id long, seq_start long, doc_start long, n_tokens long, curve_key long, ids binary")
+
 
-    return placed.mapInArrow(run, "doc_id long, seq_id long, seq_start long, doc_start long, n_words long, curve_key long")
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(seq_id, n_tokens, ids, parts) of every sequence, ready to train on; parts: (seq_start, doc_id, doc_start) of each document in it."""
+    parts = pieces.filter("n_tokens > 0").groupBy("seq_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq_start", "doc_id", "doc_start", "ids"))).alias("p"))
+    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")
+    return parts.select("seq_id", "n_tokens", ids, F.transform("p", lambda x: F.struct(x["seq_start"].alias("seq_start"), x["doc_id"].alias("doc_id"), x["doc_start"].alias("doc_start"))).alias("parts"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

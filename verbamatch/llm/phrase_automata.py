@@ -12,12 +12,15 @@ in a window of the group of each fingerprint in it.  In each shard
 * all windows of the shard's documents stream through it, and each match is an occurrence.
 
 So a document meets only the automata that could match it; streaming each document
-through every automaton would grow with the square of the corpus.
-
-Defined results: null and empty texts and those under SPAN words hold none; a passage
-repeated within one document only (rows that share a doc_id are one) doesn't recur;
-all rows without doc_id count as one document, reported as null; other columns don't
-matter.
+through every automaton would grow with the square of the corpus.  Around fingerprints at
+more than ``HOT`` places no automaton is built: there runs of SPAN words are brought
+together by hashes of their own, and those found in two documents are occurrences.
+
+Defined results: null and empty texts and those under SPAN words hold none; texts of any
+length are taken whole; a passage repeated within one document only doesn't recur; rows
+that share a doc_id and the text are one document, and rows that share a doc_id only, or
+have none, are told apart by their texts; ties don't arise, as every occurrence is
+reported; an empty table gives none; other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import as_id, likely, materialise, table
 from ._text import U64, mix, powers
-from ._windows import ROW, SPAN, groups, matrix, merged, repeated_windows
-from .suffix_dedup import GRAMS_SQL, SPANS_SQL
+from ._windows import HOT, ROW, SPAN, groups, matrix, merged, repeated_windows
+from .suffix_dedup import GRAMS_SQL, SPANS, SPANS_SQL, reported
 
 SLICE = 20_000
 STARTS = ROW - SPAN + 1
@@ -46,15 +50,15 @@ def run_hashes(h: np.ndarray, m: np.ndarray) -> np.ndarray:
     return mix((sums[:, SPAN:] - sums[:, :STARTS]) * inv[:STARTS] + mix(h)[:, None])
 
 
-def confirm(h, doc, size, m) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """Confirmed passages (row, start, end), and the rows that later slices of their group may still need."""
+def confirm(h, doc, size, m) -> list[tuple[int, int, int]]:
+    """Confirmed passages (row, start, end)."""
     key = run_hashes(h, m)
     row, off = np.nonzero(np.arange(STARTS)[None, :] + SPAN <= size[:, None])
     k = key[row, off]
     order = np.lexsort((off, row, k))
     k, row, off = k[order], row[order], off[order]
     if not len(k):
-        return [], np.zeros(len(h), bool)
+        return []
     head = np.concatenate([[True], k[1:] != k[:-1]])
     cls = np.cumsum(head) - 1
     # Rows come in order of documents within a group, so a class's documents are in order.
@@ -63,19 +67,16 @@ def confirm(h, doc, size, m) -> tuple[list[tuple[int, int, int]], np.ndarray]:
     mark = mix(row.astype(U64) + U64(1))
     at = np.flatnonzero(head)
     shared = np.add.reduceat(mark, at)
-    need = np.zeros(len(h), bool)
-    need[row[at]] = True
-    need[row[~sure[cls]]] = True
     first = at[sure]
     r, o, s = row[first], off[first], shared[sure]
     order = np.lexsort((o, r))
     r, o, s = r[order], o[order], s[order]
     if not len(r):
-        return [], need
+        return []
     new = np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1) | (s[1:] != s[:-1])])
     begin = np.flatnonzero(new)
     end = np.concatenate([begin[1:], [len(r)]]) - 1
-    return list(zip(r[begin].tolist(), o[begin].tolist(), (o[end] + SPAN).tolist())), need
+    return list(zip(r[begin].tolist(), o[begin].tolist(), (o[end] + SPAN).tolist()))
 
 
 def occurrences(passages: list[tuple[int, int, int]], size: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,26 +100,25 @@ def occurrences(passages: list[tuple[int, int, int]], size: np.ndarray, m: np.nd
     return first, last
 
 
-def find_recurring(docs: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+def find_recurring(docs: DataFrame, slice_rows: int = SLICE, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word): maximal word ranges covered by recurring passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: tuple[np.ndarray, ...] | None = None
-        for part, goes_on in groups(batches, slice_rows):
+        for part in groups(batches, slice_rows):
             rows = matrix(part)
-            if goes_on and carried is not None:
-                rows = tuple(np.concatenate([a, b]) for a, b in zip(carried, rows))
-            h, doc, pos, back, size, m = rows
-            passages, need = confirm(h, doc, size, m)
-            keep = need & (h == h[-1])
-            carried = tuple(x[keep] for x in rows)
-            first, last = occurrences(passages, size, m)
-            out = np.flatnonzero(last > 0)
-            if len(out):
-                begin = pos[out] - back[out]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(begin + first[out]), pa.array(begin + last[out])], names=["doc", "start_word", "end_word"])
-
-    return merged(repeated_windows(docs).mapInArrow(run, "doc long, start_word long, end_word long"))
+            h, doc, _, _, size, m = rows
+            found = reported(part.combine_chunks(), rows, *occurrences(confirm(h, doc, size, m), size, m))
+            if found is not None:
+                yield found
+
+    windows, runs = repeated_windows(docs, hot)
+    spans = windows.mapInArrow(run, SPANS)
+    if runs is not None:
+        key = ["r1", "r2"]
+        several = materialise(runs.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select(*key), "hot-several")
+        shared = likely(runs, key, several).join(several, key, "left_semi")
+        spans = spans.union(shared.select("doc", F.col("start").cast("long"), (F.col("start") + SPAN).cast("long")))
+    return merged(spans).select(as_id("doc").alias("doc_id"), "start_word", "end_word")
 
 
 def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,16 @@ span it came from:
    least three spelled digits (English, Spanish, French, German, Portuguese, with
    double and triple) become digits.
 
-Identifiers are detected in the rewritten text and their spans mapped back.  A text
-goes through this only if it holds a digit, an @, a character beyond Latin-1, one of the
-trigger words, or an at word along with a full stop anywhere; without any of these no
-identifier can arise, so nothing is lost.
+Identifiers are detected in the rewritten text and their spans mapped back.  Cards must
+hold Luhn's check, IBANs theirs, and addresses in bare words a top-level domain or a word
+such as "mail" before them.  A text goes through this only if it holds a digit, an @, a
+character beyond Latin-1, one of the trigger words, or an at word along with a full stop
+anywhere; without any of these no identifier can arise, so nothing is lost.
 
 Defined results: null and empty texts hold nothing; overlapping findings keep the
-leftmost, then the longest, then the first kind in KINDS; repeated rows each report;
-doc_id may be null.  Texts of any length are scanned whole.
+leftmost, then the longest, then the first kind in KINDS (so ties can't arise); repeated
+rows each report; doc_id may be null; an empty table gives nothing; extra columns of any
+name don't matter.  Texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -56,8 +58,23 @@ _NAME = r"[A-Za-z0-9_%+\-]+"
 ADDRESS = re.compile(rf"(?<![\w]){_NAME}(?:{DOT}{_NAME})*{AT}{_NAME}(?:{DOT}{_NAME})+", re.I)
 _WORDS = "|".join(sorted((*WORD_DIGIT, *TIMES), key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS}|\d)(?:[\s,.\-]{{1,3}}(?:{_WORDS}|\d(?!\d)))+(?!\w)", re.I)
-# A disguise in bare words is prose unless its last label is a common top-level domain.
-TOP_LEVEL = frozenset("com net org edu gov mil int info biz io co ai app dev me tv br pt es fr de uk us ca eu it nl ch at be mx ar cl au jp cn in ru se no fi dk pl cz ie nz za kr".split())
+# A disguise in bare words is prose unless its last label is a top-level domain (all countries' and the common generic
+# ones, in lower case) or a word such as "mail" stands before it, and unless name or host is a function word.
+TOP_LEVEL = frozenset(
+    (
+        "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz "
+        "ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz "
+        "la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa "
+        "re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+        "com net org edu gov mil int arpa info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx app dev page blog shop store online site website web tech cloud host email mail "
+        "digital media news press live video studio design art agency group team company business services support help center network systems software solutions consulting marketing finance bank "
+        "money capital fund insurance law legal health care clinic doctor school academy university education science research institute foundation community social chat email club fun games game "
+        "world global international city town house homes land estate london paris berlin tokyo nyc xyz top icu vip win bid loan work works zone space today guru expert codes computer data domains "
+        "engineer engineering events exchange express fit fitness food coffee pizza restaurant bar pub wine beer photo photos gallery pics link click download wiki ink moe one plus red blue green"
+    ).split()
+)
+CUE = re.compile(r"\b(?:e-?mails?|mails?|contact\w*|contat\w*|kontakt\w*|write|reach|address|adresse|escrib\w*|escrev\w*|correo|schreib\w*|[ée]cri\w*)\b", re.I)
+_FUNCTION = frozenset("a an the this that these those my our your his her their its it in on of to and or one some any all each no by from with as is was are were be been".split())
 _UNIT = re.compile(rf"{_WORDS}|\d", re.I)
 
 KINDS = {
@@ -67,7 +84,11 @@ KINDS = {
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
     "ssn": re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
     "card": re.compile(r"(?<![\w+\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\w])"),
+    # +1 and area in front, other countries' prefixes, area in brackets, 3-3-4, a leading 0 with pairs or one group, ten or eleven digits on their own.
+    "phone": re.compile(
+        r"(?<![\w+\-])(?:\+?1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1)\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{2,5}){1,5}"
+        r"|\(\d{2,4}\)[ .\-]?\d{3,5}[ .\-]?\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4}|0\d(?:[ .\-]\d{2}){4}|0\d{2,4}[ \-/]\d{5,8}|\d{10,11})(?![\w\-])"
+    ),
 }
 
 
@@ -139,13 +160,21 @@ def _characters(text: str) -> Rewritten | None:
 _AT, _DOT = re.compile(AT, re.I), re.compile(DOT, re.I)
 
 
+def _in_words(text: str, m: re.Match) -> bool:
+    """Whether a disguise without brackets and signs is an address rather than prose."""
+    labels = re.split(rf"{AT}|{DOT}", m.group(), flags=re.I)
+    if _FUNCTION & {x.lower() for x in labels[:-1]}:
+        return False
+    return labels[-1] in TOP_LEVEL or bool(CUE.search(text, max(0, m.start() - 60), m.start()))
+
+
 def _phrases(text: str) -> Rewritten | None:
     edits: list[tuple[int, int, str]] = []
     for m in ADDRESS.finditer(text):
         part = m.group()
         if "@" in part and not re.search(r"[\s\[({<]", part):
             continue  # a plain address
-        if "@" not in part and not re.search(r"[\[({<]", part) and part.split()[-1].rpartition(".")[2].lower() not in TOP_LEVEL:
+        if "@" not in part and not re.search(r"[\[({<]", part) and not _in_words(text, m):
             continue
         at = [x for x in _AT.finditer(part)]
         plain = [x for x in at if "@" in x.group()] or at
@@ -189,9 +218,10 @@ def _valid(kind: str, value: str) -> bool:
         v = value.replace(" ", "")
         return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
     if kind == "card":
-        return value[0] in "23456"
+        d = [int(c) for c in value if c.isdigit()][::-1]
+        return d[-1] in (2, 3, 4, 5, 6) and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
     if kind == "phone":
-        return 7 <= sum(c.isdigit() for c in value) <= 15 and (not value.isdigit() or len(value) >= 10)
+        return 8 <= sum(c.isdigit() for c in value) <= 15
     return True
 
 
@@ -249,7 +279,9 @@ def suspects(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     hit = np.zeros(n, bool)
     at = np.flatnonzero(_TRIGGER[raw])
     hit[np.searchsorted(offs, at, "right") - 1] = True
-    soft = np.flatnonzero((raw[:-1] == 0xC2) & ((raw[1:] == 0xAD) | (raw[1:] == 0xA0))) if len(raw) else at
+    # Soft hyphens, hard spaces, and the two signs among the letters, beside which a word begins.
+    pair = (raw[:-1] == 0xC2) & ((raw[1:] == 0xAD) | (raw[1:] == 0xA0)) | (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    soft = np.flatnonzero(pair)
     hit[np.searchsorted(offs, soft, "right") - 1] = True
     w = words(raw, offs)
     if len(w.hash):

@@ -11,14 +11,17 @@ One suffix array over 100 TB would need dozens of global sorts.  The windows aro
 repeated fingerprints (`_windows`) bring every run of SPAN words that occurs twice
 into one group at each of its occurrences, so arrays over groups give the same
 removals: they are built by prefix doubling, a few ten thousand windows at a time,
-with words salted by group so that groups stay apart.  A group beyond that comes in
-slices by document order; the windows with anything new in them are carried on, which
-is all that later slices can match.
-
-Defined results: null and empty texts and those under SPAN words lose nothing; a null
-doc_id comes after all others and is reported as null; rows that share a doc_id are
-one document, and equal places in them are no copies of each other; a text that
-repeats itself keeps the first round; other columns don't matter.
+with words salted by group so that groups stay apart.  Around fingerprints at more than
+``HOT`` places, runs of SPAN words are brought together by hashes of their own, and all but
+the earliest of equal ones are later copies.
+
+Defined results: null and empty texts and those under SPAN words lose nothing; texts of any
+length are taken whole; a null doc_id comes after all others and is reported as null; rows
+that share a doc_id and the text are one document, and rows that share a doc_id only are
+two, the one with the smaller hash of its text first; a text that repeats itself keeps the
+first round; an empty table gives none; extra columns of any name are carried along and not
+looked at.  `drop_copies` cuts the ranges out of the texts, each up to the next word that
+stays, keeps all rows and columns, and corrects n_chars where there is one.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._spark import table
-from ._text import U64, WORD_SQL, mix
-from ._windows import ROW, SPAN, groups, matrix, merged, repeated_windows
+from ._spark import NODE, as_id, fresh, likely, marked, materialise, node, own_columns, table
+from ._text import U64, WORD_SQL, chunks, mix, words
+from ._windows import HOT, ROW, SPAN, groups, matrix, merged, repeated_windows
 
 SLICE = 20_000
 
@@ -95,8 +99,8 @@ def previous_factors(value: list[int], lcp: list[int]) -> list[int]:
     return best
 
 
-def later_copies(h, doc, pos, back, size, m) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the first and last offset removed (-1: nothing), and whether it has a run of SPAN words not seen earlier."""
+def later_copies(h, doc, pos, back, size, m) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first and last offset removed (-1: nothing)."""
     n = len(h)
     width = ROW + 1
     salt = (mix(h) >> U64(32)).astype(np.int64)
@@ -110,7 +114,6 @@ def later_copies(h, doc, pos, back, size, m) -> tuple[np.ndarray, np.ndarray, np
     lcp = np.zeros(len(order), np.int64)
     lcp[1:] = common_prefix(ranks, order[:-1], order[1:])
     first, last = np.full(n, width, np.int64), np.full(n, -1, np.int64)
-    seen = np.zeros((n, width), bool)
     long = lcp >= SPAN
     member = long.copy()
     member[:-1] |= long[1:]
@@ -118,41 +121,88 @@ def later_copies(h, doc, pos, back, size, m) -> tuple[np.ndarray, np.ndarray, np
     if len(at):
         where = order[at]
         row, off = where // width, where % width
-        _, by_doc = np.unique(doc, return_inverse=True)
-        value = (by_doc[row] << 33) + (pos[row] - back[row] + off)
+        value = (doc[row] << 33) + (pos[row] - back[row] + off)
         # Runs are kept apart by a common prefix of 0.
         factor = np.array(previous_factors(value.tolist(), np.where(long[at], lcp[at], 0).tolist()))
         hit = factor >= SPAN
         row, off, factor = row[hit], off[hit], factor[hit]
-        seen[row, off] = True
         np.minimum.at(first, row, off)
         np.maximum.at(last, row, off + factor)
-    starts = np.arange(width)[None, :] + SPAN <= size[:, None]
-    return np.where(last > 0, first, -1), last, (starts & ~seen).any(1)
+    return np.where(last > 0, first, -1), last
 
 
-def find_copies(docs: DataFrame, slice_rows: int = SLICE) -> DataFrame:
-    """(doc_id, start_word, end_word): maximal word ranges covered by later copies."""
+SPANS = f"doc {NODE}, start_word long, end_word long"
+
+
+def reported(part: pa.Table, rows: tuple[np.ndarray, ...], first: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
+    """SPANS of the rows of a table with an offset."""
+    out = np.flatnonzero(last > 0)
+    if not len(out):
+        return None
+    begin = rows[2][out] - rows[3][out]
+    doc = part.column("doc").combine_chunks()
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(out)), pa.array(begin + first[out]), pa.array(begin + last[out])], names=["doc", "start_word", "end_word"])
+
+
+def copies(docs: DataFrame, slice_rows: int = SLICE, hot: int = HOT) -> DataFrame:
+    """SPANS of all later copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: tuple[np.ndarray, ...] | None = None
-        for part, goes_on in groups(batches, slice_rows):
+        for part in groups(batches, slice_rows):
             rows = matrix(part)
-            old = 0
-            if goes_on and carried is not None:
-                old = len(carried[0])
-                rows = tuple(np.concatenate([a, b]) for a, b in zip(carried, rows))
-            first, last, novel = later_copies(*rows)
-            # Only the last group of a table can go on in the next one.
-            keep = novel & (rows[0] == rows[0][-1])
-            carried = tuple(x[keep] for x in rows)
-            out = np.flatnonzero(last > 0)
-            out = out[out >= old]
-            if len(out):
-                begin = rows[2][out] - rows[3][out]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1][out]), pa.array(begin + first[out]), pa.array(begin + last[out])], names=["doc", "start_word", "end_word"])
-
-    return merged(repeated_windows(docs).mapInArrow(run, "doc long, start_word long, end_word long"))
+            found = reported(part.combine_chunks(), rows, *later_copies(*rows))
+            if found is not None:
+                yield found
+
+    windows, runs = repeated_windows(docs, hot)
+    spans = windows.mapInArrow(run, SPANS)
+    if runs is not None:
+        place, key = F.struct("doc", "start"), ["r1", "r2"]
+        first = materialise(runs.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"), "hot-first")
+        later = likely(runs, key, first).join(first, key).filter(place > F.col("first"))
+        spans = spans.union(later.select("doc", F.col("start").cast("long"), (F.col("start") + SPAN).cast("long")))
+    return merged(spans)
+
+
+def find_copies(docs: DataFrame, slice_rows: int = SLICE, hot: int = HOT) -> DataFrame:
+    """(doc_id, start_word, end_word): maximal word ranges covered by later copies."""
+    return copies(docs, slice_rows, hot).select(as_id("doc").alias("doc_id"), "start_word", "end_word")
+
+
+def drop_copies(docs: DataFrame, slice_rows: int = SLICE, hot: int = HOT) -> DataFrame:
+    """The documents without the ranges that `find_copies` names."""
+    key, ranges, mark = fresh(docs, "doc_"), fresh(docs, "ranges_"), fresh(docs, "mark_")
+    gone = copies(docs, slice_rows, hot).groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(ranges))
+    gone = materialise(gone, "copies")
+    wide = marked(docs.withColumn(key, node()), [key], gone, mark)
+    whole = wide.filter(~F.col(mark)).select(*own_columns(docs))
+    wide = wide.filter(F.col(mark)).join(gone, key, "left").select(*own_columns(docs), ranges)
+    where = [c.lower() for c in docs.columns].index("text")
+    counts = [i for i, c in enumerate(docs.columns) if c.lower() == "n_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns[:-1])
+            texts, sizes, spans = cols[where].to_pylist(), [cols[i].to_pylist() for i in counts], batch.column(batch.num_columns - 1).to_pylist()
+            for lo, hi, raw, offs in chunks(cols[where].cast(pa.string())):
+                w = words(raw, offs)
+                for k in range(hi - lo):
+                    if not spans[lo + k]:
+                        continue
+                    kept, at, own = [], offs[k], w.first[k]
+                    for x in sorted(spans[lo + k], key=lambda x: x["start_word"]):
+                        end = own + x["end_word"]
+                        kept.append(raw[at : w.start[own + x["start_word"]]])
+                        at = w.start[end] if end < w.first[k + 1] else offs[k + 1]
+                    texts[lo + k] = b"".join(x.tobytes() for x in [*kept, raw[at : offs[k + 1]]]).decode()
+                    for s in sizes:
+                        s[lo + k] = len(texts[lo + k])
+            cols[where] = pa.array(texts, cols[where].type)
+            for i, s in zip(counts, sizes):
+                cols[i] = pa.array(s, cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+
+    return whole.union(wide.mapInArrow(run, docs.schema))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,44 +11,36 @@ is preceded by boundary symbols (0xFF, which UTF-8 never uses).
   of retained contexts stay too, as do all contexts of one symbol.
 * Smoothing: p(x|s) = (n(s,x) + d(s) p(x|parent)) / (N(s) + d(s)), d(s) being the number of
   distinct next symbols (Witten and Bell, 1991); the root's parent is uniform.
-* Scoring a corpus by its own tree (``score_corpus``, the query): the tree grows with the
-  corpus and is never in one place.  It is cut into shards by the last two symbols of the
-  contexts; a shard works out the probability of each of its runs at the run's longest
-  retained suffix.  Texts are put into groups of about GROUP_BYTES; each group asks for
-  the runs that it holds, by a join, and adds up what it gets.  The driver sees the counts
-  of pairs of symbols only.
-* Scoring other texts (``fit`` and ``score``): a tree that one process holds, of contexts
-  of DEPTH symbols that make up ``p_min`` of the corpus at least.  It becomes an automaton
-  whose states are the retained contexts and their prefixes; a state gives the
-  distribution of its longest retained suffix.  Texts are cut into segments that warm up
-  on the DEPTH symbols before them, which settles the state exactly, and thousands of
-  segments take each step together in numpy.
+* Scoring: the tree grows with the corpus and is never in one place.  It is cut into
+  shards by the last two symbols of the contexts; a shard works out the probability of
+  each of its runs at the run's longest retained suffix.  Texts are put into groups of
+  about GROUP_BYTES; each group asks for the runs that it holds, by a join, and adds up what
+  it gets.  Texts outside the corpus ask for runs that it may not have; these count 0 there.
+  The driver sees the counts of pairs of symbols only (65,536 numbers).
 
 Defined results: a null or empty text has n_bytes 0, log2_prob 0 and bits_per_byte null;
-repeated rows count and are scored as often as they occur; doc_id may be null; other
-columns don't matter; an empty table gives an empty result.
+texts of any length are scored whole; repeated rows count and are scored as often as they
+occur; doc_id may be null; ties don't arise; extra columns of any name don't matter; an
+empty table gives an empty result, and an empty corpus gives every symbol 1 in 257.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import materialise, table
+from ._spark import discard, materialise, table
 from ._text import U64, chunks, mix
 
 MIN_COUNT = 2
 GROUP_BYTES = 1 << 26
 SHARD_ROWS = 1 << 20
-DEPTH = 5
-P_MIN = 2e-6
+DEPTH = 6
 PENALTY = 0.5
-SEGMENT = 256
 EDGE = 0xFF
 MERGE = 16
 
@@ -94,170 +86,14 @@ def counted(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return add_up(codes, counts) if codes else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
-def count_runs(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(code, n): how often each run of depth + 1 symbols occurs in the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        for batch in batches:
-            for _, _, raw, offs in chunks(batch.column(0)):
-                c, n = np.unique(run_codes(raw, offs, depth), return_counts=True)
-                codes.append(c)
-                counts.append(n)
-                if len(codes) >= MERGE:
-                    c, n = add_up(codes, counts)
-                    codes, counts = [c], [n]
-        if codes:
-            c, n = add_up(codes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["code", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def contexts(runs: DataFrame, depth: int, p_min: float, penalty: float, total: int) -> DataFrame:
-    """(d, context, symbol, n, kept): the next-symbol counts of every context that is frequent enough, and whether its divergence test holds."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    mask = F.expr("cast(shiftleft(cast(1 as bigint), 8 * d) - 1 as bigint)")
-    rows = runs.select(levels.alias("d"), F.shiftrightunsigned("code", 8).alias("all"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-    rows = rows.withColumn("context", F.col("all").bitwiseAND(mask)).groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("d", "context")
-    rows = rows.withColumn("size", F.sum("n").over(own)).withColumn("kinds", F.count("*").over(own)).filter(F.col("size") >= p_min * total)
-    rows = materialise(rows, "contexts")
-    up = rows.select((F.col("d") + 1).alias("d"), F.col("context").alias("shorter"), "symbol", F.col("n").alias("up_n"), F.col("size").alias("up_size"))
-    shorter = F.expr("cast(context & (shiftleft(cast(1 as bigint), 8 * (d - 1)) - 1) as bigint)")
-    both = rows.filter("d > 0").withColumn("shorter", shorter).join(up, ["d", "shorter", "symbol"])
-    gain = F.sum(F.col("n") * F.ln((F.col("n") / F.col("size")) / (F.col("up_n") / F.col("up_size"))))
-    test = both.groupBy("d", "context").agg((2 * gain > penalty * F.first("kinds") * float(np.log(max(total, 2)))).alias("kept"))
-    return rows.join(test, ["d", "context"], "left").select("d", "context", "symbol", "n", F.coalesce("kept", F.col("d") == 0).alias("kept"))
-
-
-class Automaton(NamedTuple):
-    symbol: np.ndarray  # byte -> column, the last column for unseen bytes
-    step: np.ndarray  # state x column -> state
-    log2: np.ndarray  # state x column -> log2 probability
-    start: int
-    depth: int
-
-
-def build(rows: list[tuple[int, int, int, int, bool]], depth: int = DEPTH) -> Automaton:
-    """From (d, context, symbol, n, kept) rows; contexts read from the first symbol at the high end."""
-    counts: dict[tuple[int, int], dict[int, int]] = {}
-    kept: set[tuple[int, int]] = {(0, 0)}
-    for d, c, x, n, k in rows:
-        counts.setdefault((d, c), {})[x] = n
-        if k:
-            while (d, c) not in kept:
-                kept.add((d, c))
-                d, c = d - 1, c & ((1 << 8 * (d - 1)) - 1)
-    states = set(kept)
-    todo = list(kept)
-    while todo:
-        d, c = todo.pop()
-        for near in ((d - 1, c >> 8), (d - 1, c & ((1 << 8 * max(d - 1, 0)) - 1))):
-            if d and near not in states:
-                states.add(near)
-                todo.append(near)
-    seen = sorted({x for t in counts.values() for x in t} | {EDGE})
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    order = sorted(states)
-    index = {s: i for i, s in enumerate(order)}
-    prob: dict[tuple[int, int], np.ndarray] = {}
-    log2 = np.empty((len(order), width), np.float32)
-    step = np.zeros((len(order), width), np.int32)
-    for s in order:  # shorter ones first
-        d, c = s
-        up = (d - 1, c & ((1 << 8 * max(d - 1, 0)) - 1))
-        base = prob[up] if d else np.full(width, 1 / 257)
-        if s in kept:
-            own = counts.get(s, {})
-            n = np.zeros(width)
-            n[symbol[list(own)]] = list(own.values())
-            prob[s] = (n + len(own) * base) / max(n.sum() + len(own), 1) if own else base
-        else:
-            prob[s] = base
-        log2[index[s]] = np.log2(prob[s])
-        back = step[index[up]] if d else np.zeros(width, np.int32)
-        step[index[s]] = back
-        if d < depth:
-            for x in seen:
-                long = (d + 1, (c << 8) | x)
-                if long in index:
-                    step[index[s], symbol[x]] = index[long]
-        # A missing longer context falls back to what the shorter state does with the symbol.
-    state = 0
-    for _ in range(depth):
-        state = int(step[state, symbol[EDGE]])
-    return Automaton(symbol, step.ravel(), log2.ravel(), state, depth)
-
-
-def fit(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, penalty: float = PENALTY) -> Automaton:
-    runs = materialise(count_runs(docs, depth), "runs")
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    got = contexts(runs, depth, p_min, penalty, total)
-    # At most 1 / p_min contexts of each depth, of 256 symbols each, whatever the corpus.
-    t = got.toArrow()
-    return build(list(zip(*(t.column(c).to_pylist() for c in ("d", "context", "symbol", "n", "kept")))), depth)
-
-
-def score_texts(raw: np.ndarray, offs: np.ndarray, model: Automaton) -> np.ndarray:
-    """log2 probability of each text."""
-    n = len(offs) - 1
-    width = int(model.symbol.max()) + 1
-    text, begin = padded(raw, offs, model.depth)
-    column = model.symbol[text]
-    size = np.diff(offs)
-    parts = -(-size // SEGMENT)
-    doc = np.repeat(np.arange(n), parts)
-    first = begin[doc] + SEGMENT * (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts))
-    last = np.minimum(first + SEGMENT, begin[doc] + size[doc])
-    # Longest first, so that the live segments are always a leading slice.
-    order = np.argsort(first - last, kind="stable")
-    doc, first, last = doc[order], first[order], last[order]
-    length = last - first
-    state = np.zeros(len(doc), np.int64)
-    for j in range(model.depth, 0, -1):
-        state = model.step[state * width + column[first - j]].astype(np.int64)
-    total = np.zeros(len(doc))
-    live = len(doc)
-    for j in range(int(length[0]) if len(length) else 0):
-        while live and length[live - 1] <= j:
-            live -= np.count_nonzero(length[:live] == length[live - 1])
-        at = state[:live] * width + column[first[:live] + j]
-        total[:live] += model.log2[at]
-        state[:live] = model.step[at]
-    return np.bincount(doc, total, n) if len(doc) else np.zeros(n)
-
-
-def score(docs: DataFrame, model: Automaton) -> DataFrame:
-    """(doc_id, n_bytes, log2_prob, bits_per_byte) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Automaton(*shared.value)
-        for batch in batches:
-            total, size = [], []
-            for _, _, raw, offs in chunks(batch.column(1)):
-                total.append(score_texts(raw, offs, own))
-                size.append(np.diff(offs))
-            if total:
-                t, n = np.concatenate(total), np.concatenate(size)
-                rate = pa.array(np.round(-t / np.maximum(n, 1), 6), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(t, 3) + 0.0), rate], names=["doc_id", "n_bytes", "log2_prob", "bits_per_byte"])
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, n_bytes long, log2_prob double, bits_per_byte double")
-
-
 def run_log2(code: np.ndarray, n: np.ndarray, depth: int, pairs: np.ndarray, total: int, min_count: int, penalty: float) -> np.ndarray:
     """log2 probability of the last symbol of each run at its longest retained suffix.
 
     The runs are all those whose contexts end in certain pairs of symbols; pairs[c, x] is how often x follows c in the corpus.
     """
     size1, kinds1 = pairs.sum(1), np.count_nonzero(pairs, 1)
-    root = (pairs.sum(0) + np.count_nonzero(pairs.sum(0)) / 257) / max(total + np.count_nonzero(pairs.sum(0)), 1)
+    used = np.count_nonzero(pairs.sum(0))
+    root = (pairs.sum(0) + used / 257) / (total + used) if total else np.full(256, 1 / 257)
     prob = np.where((size1 >= min_count)[:, None], (pairs + kinds1[:, None] * root) / np.maximum(size1 + kinds1, 1)[:, None], root).ravel()
     # Contexts back to front, the symbol last: the runs of a context and of all that extend it are neighbours.
     key = np.zeros(len(code), U64)
@@ -270,8 +106,9 @@ def run_log2(code: np.ndarray, n: np.ndarray, depth: int, pairs: np.ndarray, tot
     for d in range(depth, 1, -1):
         context = key >> U64(8)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        kinds = np.diff(np.concatenate([first, [len(key)]]))
-        of = np.repeat(np.arange(len(first)), kinds)
+        of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(key)]])))
+        # Runs that are asked for but don't occur count 0.
+        kinds = np.add.reduceat((n > 0).astype(np.int64), first)
         size = np.add.reduceat(n, first)
         up_key = ((context >> U64(8)) << U64(8)) | (key & U64(255))
         if d > 2:
@@ -289,7 +126,10 @@ def run_log2(code: np.ndarray, n: np.ndarray, depth: int, pairs: np.ndarray, tot
             up_n, up_size = levels[i + 1][0][up], levels[i + 1][4][levels[i + 1][3][up]]
         else:
             up_n, up_size = pairs.ravel()[up], size1[up >> 8]
-        gain = np.add.reduceat(n * np.log((n / size[of]) / (up_n / up_size)), first)
+        seen = n > 0
+        gain = np.zeros(len(n))
+        gain[seen] = n[seen] * np.log((n[seen] / size[of][seen]) / (up_n[seen] / up_size[seen]))
+        gain = np.add.reduceat(gain, first)
         keep = (size >= min_count) & (2 * gain > penalty * kinds * np.log(max(total, 2)))
         if i:
             below = levels[i - 1]
@@ -298,7 +138,7 @@ def run_log2(code: np.ndarray, n: np.ndarray, depth: int, pairs: np.ndarray, tot
         known = keep
     for (n, first, kinds, of, size, up), keep in zip(reversed(levels), reversed(keeps)):
         base = prob[up]
-        prob = np.where(keep[of], (n + kinds[of] * base) / (size + kinds)[of], base)
+        prob = np.where(keep[of], (n + kinds[of] * base) / np.maximum(size + kinds, 1)[of], base)
     if depth < 2:
         prob = prob[key.astype(np.int64)] if depth else root[key.astype(np.int64)]
     out = np.empty(len(code))
@@ -310,8 +150,8 @@ class Lookup:
     """Values of 64-bit keys, found many at a time by open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4 * len(keys), 2).bit_length()
-        self.keys, self.values, owner = np.zeros(1 << self.bits, U64), np.zeros(1 << self.bits), np.full(1 << self.bits, -1)
+        self.bits = max(2 * len(keys), 2).bit_length()
+        self.keys, self.values, owner = np.zeros(1 << self.bits, U64), np.zeros(1 << self.bits, np.float32), np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(keys)), self._first(keys)
         while len(left):
             free = owner[at] < 0
@@ -335,20 +175,30 @@ class Lookup:
         return self.values[at]
 
 
-def score_corpus(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, n_bytes, log2_prob, bits_per_byte) of every document by the tree of all of them."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, grp): groups of about GROUP_BYTES of text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = 1 + max(size // GROUP_BYTES, min(own.sparkSession.sparkContext.defaultParallelism, size // (GROUP_BYTES >> 5)))
-    own = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    return own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // GROUP_BYTES)).cast("int"))
+
+
+def group_runs(own: DataFrame, depth: int) -> DataFrame:
+    """(grp, code, n): how often each run of depth + 1 symbols occurs in each group."""
 
     def ask(texts: pa.Table) -> pa.Table:
         code, n = counted(texts.column("text"), depth)
         return pa.table({"grp": pa.array(np.full(len(code), texts.column("grp")[0].as_py(), np.int32)), "code": code.view(np.int64), "n": n})
 
-    runs = materialise(own.groupBy("grp").applyInArrow(ask, "grp int, code long, n long"), "runs")
+    return materialise(own.groupBy("grp").applyInArrow(ask, "grp int, code long, n long"), "runs")
+
+
+def score_corpus(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, penalty: float = PENALTY, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_bytes, log2_prob, bits_per_byte) of every document by the tree of all of them, or by that of another corpus."""
+    own = grouped(docs)
+    runs = group_runs(own, depth)
+    known = runs if corpus is None else group_runs(grouped(corpus), depth)
     # At most 256 x 256 rows.
-    top = runs.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF if depth else 0xFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    top = known.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF if depth else 0xFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros((256, 256), np.int64)
     pairs.ravel()[top.column("pair").to_numpy()] = top.column("n").to_numpy()
     total = int(pairs.sum())
@@ -377,7 +227,8 @@ def score_corpus(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT
         if codes:
             yield done(codes, counts)
 
-    counts = runs.groupBy("code").agg(F.sum("n").alias("n")).select(F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("key"), "code", "n")
+    every = known.select("code", "n") if corpus is None else known.select("code", "n").union(runs.select("code", F.lit(0)))
+    counts = every.groupBy("code").agg(F.sum("n").alias("n")).select(F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("key"), "code", "n")
     model = counts.repartition("key").sortWithinPartitions("key").mapInArrow(shard, "code long, log2 float")
     asked = runs.select("grp", "code").join(model, "code")
 
