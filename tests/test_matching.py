@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from verbamatch import Calibrator, MatchConfig, Matcher, fuse_lists
+from verbamatch import Calibrator, MatchConfig, Matcher, StageProcessingError, fuse_lists, spark_frame
 from verbamatch.functions import entities, kernels, similarity
-from verbamatch.functions.encoders import hashing_encoder, lazy, unload
+from verbamatch.functions.encoders import encode, hashing_encoder, lazy, unload
 from verbamatch.operators import index
 from verbamatch.operators.matcher import texts
 from verbamatch.sources import catalog
@@ -205,6 +205,23 @@ def test_dense_scores_serve_as_semantic_ones(spark):
     unload()
 
 
+def test_workers_load_anew_after_unloading(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+        return hashing_encoder
+
+    rows, made = frame(spark, ["a"]).coalesce(1), lazy(load, "counted")
+    for _ in range(2):
+        rows.select(encode(F.col("candidate"), made)).collect()
+    before = len(open(log).read())
+    unload("counted")
+    rows.select(encode(F.col("candidate"), made)).collect()
+    assert len(open(log).read()) == before + 1
+
+
 def test_tables(spark):
     rows = [(1, "televisão samsung 55 polegadas", 2500.0), (2, "geladeira electrolux frost free", 3200.0), (3, "televisão samsung 55 polegadas", 1.0)]
     df = spark.createDataFrame(rows, "id int, produto string, preco double")
@@ -216,6 +233,62 @@ def test_tables(spark):
     assert {(r.index_a, r.index_b) for r in pairs} == {(0, 0), (1, 2)} and len(pairs) == 3
 
 
+def test_tables_with_any_column_names(spark):
+    rows = [(1, "tv samsung 55", 9.5, 7, "p"), (2, "geladeira frost", 8.5, 7, "q"), (3, "tv samsung", 7.5, 7, "r"), (4, None, 0.0, 7, "s")]
+    df = spark.createDataFrame(rows, "_n int, candidate string, score double, pos_ int, `a.b` string")
+    got = Matcher().compare_dataframe(df, "candidate", "tv samsung", order="_n")
+    assert got.columns == ["_n", "candidate", "pos_", "a.b", "score"]
+    found = [tuple(r) for r in got.collect()]
+    assert [r[:4] for r in found] == [(3, "tv samsung", 7, "r"), (1, "tv samsung 55", 7, "p")] and found[0][4] > found[1][4]
+    dotted = spark.createDataFrame([("tv samsung", 2), ("tv 55", 1)], "`t.x` string, query_id int")
+    pairs = Matcher().record_linkage(dotted, df, "t.x", "candidate", order_a="query_id", order_b="_n").collect()
+    assert [r.score for r in pairs] == sorted((r.score for r in pairs), reverse=True) and pairs[0].text_a == pairs[0].text_b == "tv samsung"
+
+
+class Columns:
+    """A frame of no library: columns by name."""
+
+    columns = ("id", "produto")
+
+    def __getitem__(self, name):
+        return {"id": range(3), "produto": ("televisão samsung", "geladeira", "notebook dell")}[name]
+
+
+def test_tables_of_other_kinds(spark):
+    pandas, arrow = pytest.importorskip("pandas"), pytest.importorskip("pyarrow")
+    data = {"id": [0, 1, 2], "produto": ["televisão samsung", "geladeira", "notebook dell"]}
+    rows = [dict(zip(data, v)) for v in zip(*data.values())]
+    for table in (pandas.DataFrame(data), arrow.table(data), data, rows, Columns()):
+        got = Matcher().compare_dataframe(table, "produto", "samsung televisão").collect()
+        assert [(r.id, r.produto) for r in got] == [(0, "televisão samsung")]
+        assert Matcher().record_linkage(table, pandas.DataFrame({"x": ["notebook dell i5"]}), "produto", "x").first().text_a == "notebook dell"
+    assert Matcher().compare_batch("dell", data["produto"]).first().candidate == "notebook dell"
+    assert Matcher().compare_many_to_many(["dell", "samsung"], data["produto"], 1).count() == 2
+    with pytest.raises(TypeError):
+        spark_frame(3)
+
+
+def test_own_algorithm_replaces_the_hybrid(spark):
+    def first_letters(a, b):
+        return float(a[:1] == b[:1])
+
+    config = MatchConfig(algorithm=first_letters)
+    r = Matcher(config).compare(spark.createDataFrame([("tv", "tela")], "a string, b string"), "a", "b").first()
+    assert r.score == 1.0 and r.details["first_letters"].weight == 1.0
+    got = Matcher(config).compare_batch("tv samsung", frame(spark, ["samsung tv", "tv samsung", "mesa"]), 5, 0.0).orderBy("rank").collect()
+    assert [(x.candidate, x.score) for x in got] == [("tv samsung", 1.0), ("samsung tv", 0.0), ("mesa", 0.0)]
+    assert Matcher(MatchConfig(algorithm=first_letters, fusion="rrf")).compare_batch("tv", frame(spark, ["tv"])).count() == 0
+
+
+def test_strict_matchers_refuse_nulls(spark):
+    rows = frame(spark, ["a", None])
+    assert Matcher().compare_batch("a", rows, 5, 0.0).count() <= 2
+    with pytest.raises(StageProcessingError):
+        Matcher(MatchConfig(strict=True)).compare_batch("a", rows)
+    with pytest.raises(StageProcessingError):
+        Matcher(MatchConfig(strict=True)).compare(spark.createDataFrame([(None, "x")], "a string, b string"), "a", "b")
+
+
 def test_vector_hits(spark):
     rows = [("doc1", "Samsung Galaxy S22 Ultra", 0.9), ("doc2", "Apple iPhone 15", 0.8), ("doc3", "Mouse MX", 0.7), ("doc4", "Peças GN500 originais", 0.45)]
     hits = spark.createDataFrame(rows, "id string, text string, score double")
@@ -254,6 +327,8 @@ def test_calibration(spark):
     assert found.best_weights == {"edit": 1.0}
     by = {r.config_id: r for r in found.metrics.collect()}
     assert by[1].f1_score == 1.0 and by[0].f1_score < 1 and found.errors.count() == 0
+    profile = Calibrator([{"cosine": 1.0}, {"edit": 1.0}]).time_profile(gold).collect()
+    assert [r.config_id for r in profile] == [0, 1] and profile[1].f1_score == 1.0 and all(r.total_time_ms > 0 for r in profile)
     missed = Calibrator([{"cosine": 1.0}, {"edit": 1.0}]).errors(gold, 0).collect()
     assert [(r.query, r.offender, r.lowest) for r in missed] == [("casa", "cosine", 0.0)]
     blank = spark.createDataFrame([("teste limpo", "teste limpo", True), ("", "algum lixo", False), ("  ", "", False)], gold.schema)
@@ -274,6 +349,10 @@ def test_catalogue_follows_texts_and_settings(spark, tmp_path):
     assert catalog.load_catalog(spark, path, catalog.fingerprint(rows, MatchConfig.smart())) is None
     assert catalog.load_catalog(spark, path, catalog.fingerprint(frame(spark, ["other"]), MatchConfig())) is None
     assert catalog.load_catalog(spark, f"file://{tmp_path}/none", mark) is None
+    smart = MatchConfig.smart()
+    assert catalog.fingerprint(rows, smart, TODAY) != catalog.fingerprint(rows, smart, date(2024, 4, 26))
+    one, two = MatchConfig(lemmatizer=lambda ts: ts), MatchConfig(lemmatizer=lambda ts: [t[:3] for t in ts])
+    assert catalog.fingerprint(rows, one) != catalog.fingerprint(rows, two)
 
 
 def test_kept_tables_are_forgotten(spark):

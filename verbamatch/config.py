@@ -25,7 +25,9 @@ class MatchConfig:
     """How texts are prepared, retrieved, scored and fused.
 
     `encoder` turns a list of texts into a list of vectors; it is called once per Arrow
-    batch on the executors (see functions.encoders).
+    batch on the executors (see functions.encoders).  `algorithm` (a callable of two prepared
+    texts, or an object with `compare`) replaces the weighted hybrid; rank fusion has no
+    rankings then and gives nothing.  `strict` raises on null texts instead of leaving them.
     """
 
     mode: str = "basic"
@@ -41,6 +43,8 @@ class MatchConfig:
     encoder: Callable[[list[str]], list] | None = field(default=None, compare=False)
     reuse_dense: bool = True
     lemmatizer: Callable[[list[str]], list[str]] | None = field(default=None, compare=False)
+    algorithm: Callable[[str, str], float] | None = field(default=None, compare=False)
+    strict: bool = False
 
     def __post_init__(self):
         for name, value, known in (("mode", self.mode, ("basic", "smart")), ("fusion", self.fusion, ("linear", "rrf")), ("index", self.index, ("tfidf", "bm25", "dense"))):

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _loaded: dict = {}
+_unloaded: dict = {}
 
 
 def hashing_encoder(texts: list[str], size: int = 64) -> list[list[float]]:
@@ -40,19 +41,34 @@ def encode(col: Column, encoder: Callable[[list[str]], list]) -> Column:
     return run(col)
 
 
-def lazy(factory: Callable[[], Callable[[list[str]], list]], name: str) -> Callable[[list[str]], list]:
-    """An encoder whose model is loaded at its first use in a worker and kept under `name`."""
+class Lazy:
+    """An encoder whose model is loaded at its first use in a process and kept under its name.
 
-    def call(texts: list[str]) -> list:
-        if name not in _loaded:
-            _loaded[name] = factory()
-        return _loaded[name](texts)
+    It travels to the workers with the number of times its name has been unloaded; a worker
+    that holds an older model drops it before it loads anew.
+    """
 
-    return call
+    def __init__(self, factory: Callable[[], Callable[[list[str]], list]], name: str):
+        self.factory, self.name = factory, name
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"times": _unloaded.get(self.name, 0) + _unloaded.get(None, 0)}
+
+    def __call__(self, texts: list[str]) -> list:
+        times = self.__dict__.get("times", _unloaded.get(self.name, 0) + _unloaded.get(None, 0))
+        if _loaded.get(self.name, (None,))[0] != times:
+            _loaded.pop(self.name, None)
+            _loaded[self.name] = (times, self.factory())
+        return _loaded[self.name][1](texts)
+
+
+def lazy(factory: Callable[[], Callable[[list[str]], list]], name: str) -> Lazy:
+    return Lazy(factory, name)
 
 
 def unload(name: str | None = None) -> None:
-    """Forget loaded models in this process."""
+    """Forget loaded models: here at once, in workers when they next meet the encoder."""
+    _unloaded[name] = _unloaded.get(name, 0) + 1
     if name is None:
         _loaded.clear()
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,3 +80,18 @@ def weighted(parts: dict[str, Column], weights: dict[str, float], entity: Column
     for t in terms[1:]:
         total = total + t
     return F.when(entity >= 1, SHORT_CIRCUIT).otherwise(total) if entity is not None else total
+
+
+def algorithm_name(algorithm: Callable) -> str:
+    return getattr(algorithm, "__name__", None) or type(algorithm).__name__
+
+
+def custom(a: Column, b: Column, algorithm: Callable) -> Column:
+    """Scores by a callable of two texts, or by the `compare` method of an object."""
+    compare = getattr(algorithm, "compare", algorithm)
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([float(compare(s or "", t or "")) for s, t in zip(x, y)], dtype="float64")
+
+    return score(a, b)

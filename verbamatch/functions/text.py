@@ -10,9 +10,13 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Real and badly escaped control characters; the longer forms come first.
-CONTROL = "|".join([r"\\r\\n", r"\\rn", r"\\r", r"\\n", r"\\t", "\r\n", "\r", "\n", "\t"])
+# Badly escaped control characters; the longer forms come first.
+ESCAPED = "|".join([r"\\r\\n", r"\\rn", r"\\r", r"\\n", r"\\t"])
 WHITE = r"(?U)[\s\x1c-\x1f]+"
+# White space as Python's strip has it.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# In ASCII: runs of white space other than a single space, which needn't be replaced.
+LONG_GAP = r"(?:[\t-\r\x1c-\x1f]| (?=[\t-\r\x1c- ]))[\t-\r\x1c- ]*"
 # Word characters as Python's re has them: Java's \\w would leave out fractions and take in accents that stand alone.
 WORD = r"\p{L}\p{N}_"
 _ARTICLES = {"o": "o", "a": "a", "os": "os", "as": "as"}
@@ -93,16 +97,28 @@ def expand_contractions(col: Column) -> Column:
     out = F.concat(F.lit(" "), col, F.lit(" "))
     for short, full in contractions():
         out = F.replace(out, F.lit(f" {short} "), F.lit(f" {full} "))
-    return F.regexp_replace(out, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(out, F.lit(STRIPPED))
+
+
+def plain_spaces(col: Column) -> Column:
+    """Spaces in place of control characters, real or badly escaped; a carriage return with its newline gives one."""
+    escaped = F.when(F.contains(col, F.lit("\\")), F.regexp_replace(col, ESCAPED, " ")).otherwise(col)
+    for control in ("\r\n", "\r", "\n", "\t"):
+        escaped = F.replace(escaped, F.lit(control), F.lit(" "))
+    return escaped
 
 
 def clean(col: Column, accents: bool = True, contracted: bool = True, punctuation: bool = True) -> Column:
     """Lower-cased text of letters, digits, spaces and ``$ < > - : .``; each step can be left out."""
-    out = F.lower(F.regexp_replace(col, CONTROL, " "))
+    out = F.lower(plain_spaces(col))
     if contracted:
         out = expand_contractions(out)
     if accents:
         out = strip_accents(out)
+    if accents:  # all ASCII from here on, so the patterns needn't look up Unicode's classes
+        if punctuation:
+            out = F.regexp_replace(out, r"[^a-z0-9\t-\r\x1c- $<>\-:.]+", "")
+        return F.trim(F.regexp_replace(out, LONG_GAP, " "))
     if punctuation:
         out = F.regexp_replace(out, r"(?U)[^a-z0-9\s\x1c-\x1f$<>\-:.]", "")
     return F.trim(F.regexp_replace(out, WHITE, " "))
@@ -148,9 +164,13 @@ def phonetic(col: Column) -> Column:
 
 def terms(col: Column) -> Column:
     """Words of two characters or more, and pairs of neighbouring ones, as TF-IDF counts them."""
-    words = F.regexp_extract_all(F.lower(col), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+
+    def counted(words: Column) -> Column:
+        last = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.concat(words, F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.concat_ws(" ", a, b)))
+
+    # The lambda binds the words, which would be extracted again at each use otherwise.
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(F.lower(col), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))), counted))
 
 
 def blank_tokens(col: Column) -> Column:

@@ -12,33 +12,42 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import similarity
 from ..functions.encoders import dot, encode, unload
-from ..sources.shared import shared_dir
+from ..sources.frames import spark_frame, text_frame
+from ..sources.shared import settled, shared_dir
 from . import fusion, index
-from .pipeline import prepared
+from .pipeline import prepared, refuse_nulls
 
 STRATEGIES = ("vectorized", "parallel")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def literal(name: str) -> Column:
+    """A column by its literal name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def numbered(df: DataFrame, name: str, order: Column | str | None = None) -> DataFrame:
+def numbered(df: DataFrame, name: str, order: str | None = None) -> DataFrame:
     """df with dense positions from 0 in the order of a column (or of the rows as Spark reads them).
 
     Each row's place in its partition is added to the number of rows in the partitions
     before, so no single task sees all rows; rows are settled first, as both passes must
     see the same partitions.
     """
-    rows = settled((df if order is None else df.orderBy(order)).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    at, part, base = fresh(df, "at_"), fresh(df, "part_"), fresh(df, "base_")
+    shared_dir(df.sparkSession)
+    rows = (df if order is None else df.orderBy(literal(order))).withColumn(at, F.monotonically_increasing_id()).checkpoint()
+    sizes = rows.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias(base))
     # One row a partition.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(base, part == F.col("_part")).withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.select(part, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    return rows.join(sums, F.shiftright(at, 33) == F.col(part)).select(*map(literal, df.columns), (F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def texts(spark: SparkSession, values: Iterable[str], key: str, column: str) -> DataFrame:
@@ -58,7 +67,9 @@ class Matcher:
 
     def compare(self, df: DataFrame, left: str, right: str, preprocess: bool = True) -> DataFrame:
         """df with `score` and `details` (algorithm -> score, weight, short_circuit) of its two text columns."""
-        c = self.config
+        c, df = self.config, spark_frame(df)
+        if c.algorithm is not None:
+            return self._own_algorithm(df, left, right, preprocess)
         both = prepared(df, left, "_p_left", c, preprocess, as_of=self.as_of)
         both = prepared(both, right, "_p_right", c, preprocess, as_of=self.as_of)
         a, b = F.col("_p_left"), F.col("_p_right")
@@ -83,12 +94,25 @@ class Matcher:
 
     explain = compare
 
+    def _own_algorithm(self, df: DataFrame, left: str, right: str, preprocess: bool) -> DataFrame:
+        """compare by the caller's algorithm alone; its name is the only entry of the details."""
+        c = self.config
+        both = prepared(df, left, "_p_left", c, preprocess, as_of=self.as_of)
+        both = prepared(both, right, "_p_right", c, preprocess, as_of=self.as_of)
+        both = both.withColumn("score", similarity.custom(F.col("_p_left"), F.col("_p_right"), c.algorithm))
+        entry = F.struct(F.col("score"), F.lit(1.0).alias("weight"), F.lit(None).cast("boolean").alias("short_circuit"))
+        return both.withColumn("details", F.create_map(F.lit(similarity.algorithm_name(c.algorithm)), entry)).drop("_p_left", "_p_right")
+
     # --- retrieve and rerank ---
 
     def fit(self, candidates: DataFrame, preprocess: bool = True) -> tuple[DataFrame, index.Index]:
         """(prepared candidates, index) of (pos, candidate); null texts are left out."""
         c = self.config
-        own = prepared(candidates.filter(F.col("candidate").isNotNull()), "candidate", "p_candidate", c, preprocess, as_of=self.as_of)
+        if c.strict:
+            refuse_nulls(candidates, "candidate")
+        own = prepared(candidates.select("pos", "candidate").filter(F.col("candidate").isNotNull()), "candidate", "p_candidate", c, preprocess, as_of=self.as_of)
+        if preprocess:
+            own = settled(own, "prepared")
         if c.index == "bm25":
             return own, index.fit_bm25(own, c.bm25_k1, c.bm25_b)
         if c.index == "dense":
@@ -115,16 +139,28 @@ class Matcher:
         """
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
-        asked = prepared(queries.filter(F.col("query").isNotNull()), "query", "p_query", self.config, preprocess, as_of=self.as_of)
+        queries, candidates = text_frame(queries, "query_id", "query"), text_frame(candidates, "pos", "candidate")
+        if self.config.strict:
+            refuse_nulls(queries, "query")
+        asked = prepared(queries.select("query_id", "query").filter(F.col("query").isNotNull()), "query", "p_query", self.config, preprocess, as_of=self.as_of)
+        if preprocess:
+            asked = settled(asked, "queries")
         own, fitted = self.fit(candidates, preprocess)
         best = self.retrieve(asked, own, fitted, top_n, min_cosine).select("query_id", "pos", F.col("score").alias("cos_score"), F.col("rank").alias("cos_rank"))
         rows = best.join(own.select("pos", "candidate", "p_candidate"), "pos").join(asked.select("query_id", "query", "p_query"), "query_id")
         out = self.rescore(rows)
-        return out.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "pos", "candidate", "score", "details", "rank")
+        return out.join(asked.select("query_id", "query"), "query_id").select("query_id", "query", "pos", "candidate", "score", "details", "rank")
 
     def rescore(self, rows: DataFrame) -> DataFrame:
         """Hybrid scores of (query_id, p_query, pos, candidate, p_candidate, cos_score, cos_rank), by linear or rank fusion."""
         c = self.config
+        if c.algorithm is not None:
+            if c.fusion == "rrf":
+                # Rankings are of the hybrid's parts, which there are none of.
+                return self._ranked(rows.limit(0).select("query_id", "pos", "candidate", F.lit(0.0).alias("score"), F.create_map().cast(fusion.LINEAR).alias("details"), "cos_rank"))
+            scored = rows.withColumn("score", similarity.custom(F.col("p_query"), F.col("p_candidate"), c.algorithm))
+            entry = F.struct(F.col("score"), F.lit(1.0).alias("weight"))
+            return self._ranked(scored.withColumn("details", F.create_map(F.lit(similarity.algorithm_name(c.algorithm)), entry)).select("query_id", "pos", "candidate", "score", "details", "cos_rank"))
         weights = {n: w for n, w in c.active.items() if w > 0}
         kernels = [n for n in weights if n in ("entity", "edit", "phonetic")]
         linear = c.fusion == "linear"
@@ -158,6 +194,7 @@ class Matcher:
 
     def compare_batch(self, query: str, candidates: DataFrame, top_n: int = 50, min_cosine: float = 0.1, strategy: str = "vectorized", n_workers: int | None = None, preprocess: bool = True) -> DataFrame:
         """One text against (pos, candidate)."""
+        candidates = text_frame(candidates, "pos", "candidate")
         asked = texts(candidates.sparkSession, [query], "query_id", "query")
         return self.compare_many_to_many(asked, candidates, top_n, min_cosine, strategy, n_workers, preprocess).drop("query_id", "query")
 
@@ -170,27 +207,37 @@ class Matcher:
     # --- tables ---
 
     def compare_dataframe(self, df: DataFrame, text_column: str, query: str, top_n: int = 50, min_cosine: float = 0.1, preprocess: bool = True, order: str | None = None) -> DataFrame:
-        """Rows of df like the query, with `score`; of rows of equal text the first in `order` counts."""
-        rows = numbered(df, "_pos", order)
-        found = self.compare_batch(query, rows.select(F.col("_pos").alias("pos"), F.col(text_column).alias("candidate")), top_n, min_cosine, preprocess=preprocess)
-        best = found.groupBy("candidate").agg(F.max("score").alias("score"))
-        one = Window.partitionBy(text_column).orderBy("_pos")
-        heads = rows.join(best, rows[text_column] == best["candidate"]).withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-        return heads.select(*df.columns, "score")
+        """Rows of df like the query with `score` (in place of a column of that name), best first; of rows of equal text the first in `order` counts."""
+        df = spark_frame(df)
+        pos, text, score = (fresh(df, n) for n in ("pos_", "text_", "score_"))
+        rows = numbered(df, pos, order)
+        found = self.compare_batch(query, rows.select(F.col(pos).alias("pos"), literal(text_column).cast("string").alias("candidate")), top_n, min_cosine, preprocess=preprocess)
+        best = found.groupBy(F.col("candidate").alias(text)).agg(F.max("score").alias(score))
+        # At most top_n texts are looked for; of each only the first row's position goes on.
+        heads = rows.select(literal(text_column).cast("string").alias(text), pos).join(best, text).groupBy(text, score).agg(F.min(pos).alias(pos))
+        kept = [literal(c) for c in df.columns if c.lower() != "score"]
+        return rows.join(heads.select(pos, score), pos).orderBy(F.round(score, 9).desc(), pos).select(*kept, F.col(score).alias("score"))
 
     def record_linkage(self, df_a: DataFrame, df_b: DataFrame, col_a: str, col_b: str, top_n: int = 5, min_cosine: float = 0.1, preprocess: bool = True, order_a: str | None = None, order_b: str | None = None) -> DataFrame:
-        """(index_a, text_a, index_b, text_b, score, details): pairs by score; index_b is the first row of its text."""
-        a = numbered(df_a.select(F.col(col_a).alias("query"), *([order_a] if order_a and order_a != col_a else [])), "query_id", order_a).select("query_id", "query")
-        b = numbered(df_b.select(F.col(col_b).alias("candidate"), *([order_b] if order_b and order_b != col_b else [])), "pos", order_b).select("pos", "candidate")
+        """(index_a, text_a, index_b, text_b, score, details): pairs by score, best first; index_b is the first row of its text."""
+
+        def positions(df: DataFrame, column: str, order: str | None, pos: str, text: str) -> DataFrame:
+            df = spark_frame(df)
+            own = df.select(literal(column).cast("string").alias(text), *([literal(order).alias("order_")] if order else []))
+            return numbered(own, pos, "order_" if order else None).select(pos, text)
+
+        a, b = positions(df_a, col_a, order_a, "query_id", "query"), positions(df_b, col_b, order_b, "pos", "candidate")
         found = self.compare_many_to_many(a, b, top_n, min_cosine, preprocess=preprocess)
         first = b.groupBy("candidate").agg(F.min("pos").alias("index_b"))
-        return found.join(first, "candidate").select(F.col("query_id").alias("index_a"), F.col("query").alias("text_a"), "index_b", F.col("candidate").alias("text_b"), "score", "details")
+        pairs = found.join(first, "candidate").orderBy(F.round("score", 9).desc(), "query_id", "rank")
+        return pairs.select(F.col("query_id").alias("index_a"), F.col("query").alias("text_a"), "index_b", F.col("candidate").alias("text_b"), "score", "details")
 
     def rerank_vector_results(self, query: str | DataFrame, hits: DataFrame, preprocess_query: bool = True, preprocess_candidates: bool = False) -> DataFrame:
         """(query_id, id, candidate, score, vector_score, details, rank) of external hits (text, score, and if any id, query_id, pos).
 
         The external score stands in for the cosine; nothing is filtered. Hits of equal text show the last one's id and score.
         """
+        hits = spark_frame(hits)
         for name in ("text", "score"):
             if name not in hits.columns:
                 raise ValueError(f"hits have no column {name!r}")

@@ -78,7 +78,11 @@ class Pipeline:
         self.stages.append(stage)
         return self
 
-    def process(self, df: DataFrame, column: str) -> DataFrame:
+    def process(self, df: DataFrame, column: str, strict: bool = False) -> DataFrame:
+        """df with the column gone through all stages; with `strict` a null in it raises, else it stays null."""
+        if strict:
+            refuse_nulls(df, column)
+
         def step(now: DataFrame, stage: Stage) -> DataFrame:
             try:
                 return stage(now, column)
@@ -88,6 +92,11 @@ class Pipeline:
         return reduce(step, self.stages, df)
 
 
+def refuse_nulls(df: DataFrame, column: str) -> None:
+    if not df.filter(F.col(column).isNull()).limit(1).isEmpty():
+        raise StageProcessingError("input", TypeError(f"column {column!r} holds a null"))
+
+
 def pipeline_for(config: MatchConfig, as_of: date | None = None) -> Pipeline:
     tags = [entity_stage(config.entities, as_of)] if config.mode == "smart" else []
     return Pipeline([*tags, clean_stage(), tokenize_stage(), stopword_stage(), lemma_stage(config.lemmatizer)])
@@ -98,6 +107,8 @@ def prepared(df: DataFrame, source: str, target: str, config: MatchConfig, prepr
 
     Where a UDF or plug-in takes part and `once` is set, each distinct text goes through it once.
     """
+    if config.strict:
+        refuse_nulls(df, source)
     if not preprocess:
         return df.withColumn(target, F.col(source))
     run = pipeline_for(config, as_of)

@@ -40,7 +40,7 @@ def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.fit_tfidf(_prepared(spark, sf_dir)).postings.select(F.col("pos").alias("doc_id"), "term", F.round("w", 6).alias("w"))
+    return index.tfidf_weights(index.fit_tfidf(_prepared(spark, sf_dir))).select(F.col("pos").alias("doc_id"), "term", F.round("w", 6).alias("w"))
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are cores, as a file may be a single split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, candidate) of all documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("candidate"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("candidate")))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

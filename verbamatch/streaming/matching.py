@@ -22,7 +22,7 @@ def prepare_stream(queries: DataFrame, matcher: Matcher) -> DataFrame:
 def match_stream(queries: DataFrame, candidates: DataFrame, matcher: Matcher, path: str, top_n: int = 50, min_cosine: float = 0.1) -> DataStreamWriter:
     """Writer that appends each micro-batch's matches to Parquet at `path`, once per batch id."""
     own, fitted = matcher.fit(candidates)
-    own, fitted = matcher.keep(own), fitted._replace(postings=matcher.keep(fitted.postings))
+    own, fitted = matcher.keep(own), fitted._replace(**{k: matcher.keep(v) for k, v in fitted._asdict().items() if isinstance(v, DataFrame)})
 
     def run(batch: DataFrame, batch_id: int) -> None:
         asked = prepared(batch, "query", "p_query", matcher.config, as_of=matcher.as_of)
