@@ -39,7 +39,7 @@ from ._text import U64, chunks, mix
 MIN_COUNT = 2
 GROUP_BYTES = 1 << 26
 SHARD_ROWS = 1 << 20
-DEPTH = 6
+DEPTH = 5
 PENALTY = 0.5
 EDGE = 0xFF
 MERGE = 16
