@@ -27,6 +27,11 @@ def hashing_encoder(texts: list[str], size: int = 64) -> list[list[float]]:
     return out
 
 
+def letter_encoder(texts: list[str], letters: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> list[list[float]]:
+    """Deterministic stand-in: how often each letter and digit occurs."""
+    return [[float(t.count(c)) for c in letters] for t in texts]
+
+
 def encode(col: Column, encoder: Callable[[list[str]], list]) -> Column:
     """Unit vectors of a text column. The encoder is made ready once per Python worker."""
 

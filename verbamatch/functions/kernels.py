@@ -11,21 +11,30 @@ _TAG = re.compile(r"<([a-zA-Z0-9_\-]+):([^>]+)>")
 _WORD = re.compile(r"(?u)\b\w\w+\b")
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word operation per character (Hyyro, 2004)."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0
+def places(a: str) -> dict[str, int]:
+    """Bits of the places of each character."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return where
+
+
+def common_with(where: dict[str, int], size: int, b: str) -> int:
+    """common_length of a text of that size, given by its places, and b."""
+    full = (1 << size) - 1
     row = full
     for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if c in where:
+            hit = row & where[c]
+            row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine word operation per character (Hyyro, 2004)."""
+    if len(a) > len(b):
+        a, b = b, a
+    return common_with(places(a), len(a), b) if a else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -41,15 +50,17 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     best = 0.0
     for s, t in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
-        n = len(s)
+        n, where = len(s), places(s)
+        known = [0]
+        for c in t:
+            known.append(known[-1] + (c in where))
         for i in range(1 - n, len(t)):
-            window = t[max(0, i) : i + n]
-            if window and window[0] in s:
-                best = max(best, ratio(s, window))
+            lo, hi = max(0, i), min(i + n, len(t))
+            # No more can be common than the window has characters of s.
+            if 2 * (known[hi] - known[lo]) > best * (n + hi - lo):
+                best = max(best, 2 * common_with(where, n, t[lo:hi]) / (n + hi - lo))
                 if best == 1.0:
                     return best
-            elif window and i <= 0:
-                best = max(best, ratio(s, window))
     return best
 
 
@@ -84,21 +95,3 @@ def entity_overlap(a: str, b: str, targets: tuple[str, ...] | None = None) -> fl
     if len(s) > len(t):
         s, t = t, s
     return float(all(any(v in w for _, w in t) for _, v in s))
-
-
-def components(a: str | None, b: str | None, active: tuple[str, ...], sounds: tuple[str, str] | None, shortcut: bool) -> tuple[float | None, ...]:
-    """The scores named in `active`, in the order of SCORES; others and those that a full entity match makes needless are None."""
-    if not a or not b:
-        return tuple(0.0 if s in active else None for s in SCORES)
-    out: dict[str, float] = {}
-    if "entity" in active:
-        out["entity"] = entity_overlap(a, b)
-        if shortcut and out["entity"] >= 1:
-            return tuple(out.get(s) for s in SCORES)
-    if "cosine" in active:
-        out["cosine"] = pair_cosine(a, b)
-    if "edit" in active:
-        out["edit"] = ratio(a, b)
-    if "phonetic" in active and sounds:
-        out["phonetic"] = ratio(*sounds)
-    return tuple(out.get(s) for s in SCORES)

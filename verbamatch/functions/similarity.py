@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
 from .text import phonetic
 
-COMPONENTS = "cosine double, entity double, edit double, phonetic double"
 SHORT_CIRCUIT = 0.95
 
 
@@ -60,17 +59,34 @@ def entity_overlap(a: Column, b: Column, targets: tuple[str, ...] | None = None)
     return F.when((F.size(few) > 0) & every, 1.0).otherwise(0.0)
 
 
-def components(a: Column, b: Column, active: list[str], shortcut: bool = True) -> Column:
-    """Struct of the active scores (COMPONENTS). The entity branch is inside the kernel: Spark would run a UDF for all rows of a CASE."""
-    names = tuple(n for n in kernels.SCORES if n in active)
+def components(df: DataFrame, a: Column, b: Column, active: list[str], shortcut: bool = True) -> tuple[DataFrame, dict[str, Column]]:
+    """df with columns `_entity` and `_kernels`, and each active score in terms of these; scores that a full entity match makes needless are null.
 
-    @F.pandas_udf(COMPONENTS)
+    Entities are compared in the JVM.  Spark runs a UDF for all rows of a CASE, so texts that
+    need no kernel reach it as nulls, which it passes over.
+    """
+    names = tuple(n for n in kernels.SCORES if n in active)
+    blank = a.isNull() | b.isNull() | (a == "") | (b == "")
+    df = df.withColumn("_entity", F.when(blank, 0.0).otherwise(entity_overlap(a, b)) if "entity" in names else F.lit(None).cast("double"))
+    needless = blank | F.coalesce(F.col("_entity") >= 1, F.lit(False)) if shortcut and "entity" in names else blank
+    kernel = {"cosine": kernels.pair_cosine, "edit": kernels.ratio, "phonetic": kernels.ratio}
+    text = [n for n in names if n != "entity"]
+    parts = {"entity": F.col("_entity")} if "entity" in names else {}
+    if not text:
+        return df.withColumn("_kernels", F.lit(None).cast("double")), parts
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in text))
     def score(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
-        rows = [kernels.components(*p[:2], names, p[2:], shortcut) for p in zip(x, y, u, v)]
-        return pd.DataFrame(rows, columns=list(kernels.SCORES), dtype="float64")
+        rows = {n: [None if s is None else kernel[n](s, t) for s, t in (zip(u, v) if n == "phonetic" else zip(x, y))] for n in text}
+        return pd.DataFrame(rows, columns=text, dtype="float64")
+
+    def sent(c: Column) -> Column:
+        return F.when(~needless, c)
 
-    none = F.lit("")
-    return score(a, b, phonetic(a) if "phonetic" in names else none, phonetic(b) if "phonetic" in names else none)
+    sounds = [sent(phonetic(c)) if "phonetic" in names else F.lit(None).cast("string") for c in (a, b)]
+    # The UDF's own output is a column: an expression around it would be merged into its uses, and run with each.
+    df = df.withColumn("_kernels", score(sent(a), sent(b), *sounds))
+    return df, parts | {n: F.when(blank, 0.0).otherwise(F.col("_kernels")[n]) for n in text}
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float], entity: Column | None = None) -> Column:

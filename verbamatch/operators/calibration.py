@@ -44,10 +44,10 @@ class Calibrator:
             rows = rows.withColumn(f"_t_{column}", F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
             rows = prepared(rows, f"_t_{column}", f"_p_{column}", c)
         a, b = F.coalesce("_p_query", F.lit("")), F.coalesce("_p_target", F.lit(""))
-        rows = rows.withColumn("_s", similarity.components(a, b, [n for n in ALGORITHMS if n in used], shortcut=False))
+        rows, parts = similarity.components(rows, a, b, [n for n in ALGORITHMS if n in used], shortcut=False)
         semantic = dot(encode(a, c.encoder), encode(b, c.encoder)) if "semantic" in used else F.lit(0.0)
         blank = (a == "") | (b == "")
-        return rows.select("query", "target", "match", *(F.coalesce(F.col(f"_s.{n}"), F.lit(0.0)).alias(n) for n in similarity.kernels.SCORES), F.when(blank, 0.0).otherwise(semantic).alias("semantic"), blank.alias("blank"))
+        return rows.select("query", "target", "match", *(F.coalesce(parts.get(n, F.lit(0.0)), F.lit(0.0)).alias(n) for n in similarity.kernels.SCORES), F.when(blank, 0.0).otherwise(semantic).alias("semantic"), blank.alias("blank"))
 
     def scored(self, gold: DataFrame) -> DataFrame:
         """Component rows for each configuration, with `config_id`, `weights` and `score`."""

@@ -74,8 +74,7 @@ class Matcher:
         both = prepared(both, right, "_p_right", c, preprocess, as_of=self.as_of)
         a, b = F.col("_p_left"), F.col("_p_right")
         weights = {n: w for n, w in c.active.items() if w > 0}
-        both = both.withColumn("_s", similarity.components(a, b, list(weights)))
-        parts = {n: F.col(f"_s.{n}") for n in similarity.kernels.SCORES}
+        both, parts = similarity.components(both, a, b, list(weights))
         if "semantic" in weights:
             both = both.withColumn("_semantic", dot(encode(a, c.encoder), encode(b, c.encoder)))
             parts["semantic"] = F.col("_semantic")
@@ -90,7 +89,7 @@ class Matcher:
             return F.when(here, F.struct(parts[n].alias("score"), F.lit(float(weights[n])).alias("weight"), flag.alias("short_circuit")))
 
         details = fusion.detail_map([(n, entry(n)) for n in weights], "map<string,struct<score:double,weight:double,short_circuit:boolean>>")
-        return both.withColumn("score", score).withColumn("details", details).drop("_p_left", "_p_right", "_s", "_semantic")
+        return both.withColumn("score", score).withColumn("details", details).drop("_p_left", "_p_right", "_entity", "_kernels", "_semantic")
 
     explain = compare
 
@@ -164,8 +163,8 @@ class Matcher:
         weights = {n: w for n, w in c.active.items() if w > 0}
         kernels = [n for n in weights if n in ("entity", "edit", "phonetic")]
         linear = c.fusion == "linear"
-        rows = rows.withColumn("_s", similarity.components(F.col("p_query"), F.col("p_candidate"), kernels, shortcut=linear))
-        parts = {"cosine": F.col("cos_score")} | {n: F.col(f"_s.{n}") for n in kernels}
+        rows, parts = similarity.components(rows, F.col("p_query"), F.col("p_candidate"), kernels, shortcut=linear)
+        parts = {"cosine": F.col("cos_score")} | parts
         if "semantic" in weights:
             if c.index == "dense" and c.reuse_dense:
                 parts["semantic"] = F.col("cos_score")

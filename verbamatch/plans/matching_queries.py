@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SMART, MatchConfig
 from ..functions import similarity
-from ..functions.encoders import hashing_encoder
+from ..functions.encoders import letter_encoder
 from ..operators.calibration import Calibrator
 from ..operators.fusion import fuse_lists
 from ..operators.matcher import Matcher
@@ -63,6 +63,20 @@ def _many_to_many(config: MatchConfig, field: str, *shown: str):
     return query
 
 
+def hybrid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs against brands of all parts: both hold numbers, which are tagged and found in each other or not."""
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("pacote "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("a"), F.concat_ws(" ", "p_brand", "p_name").alias("b")).distinct()
+    found = Matcher(MatchConfig.smart(entities=("number",))).compare(rows, "a", "b")
+    return found.select("a", "b", F.round("score", 6).alias("score"), *_details("score", *SMART), F.coalesce(F.col("details")["entity"]["short_circuit"], F.lit(False)).alias("short_circuit"))
+
+
+def m2m_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand with a name against the labels of all parts: brands are tagged numbers, some within others."""
+    asked = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("query_id"), F.min("p_name").alias("name")).select("query_id", F.concat_ws(" ", "p_brand", "name").alias("query"))
+    found = Matcher(MatchConfig.smart(entities=("number",))).compare_many_to_many(asked, part_labels(spark, sf_dir), 3 * TOP, 0.1)
+    return found.select("query_id", "pos", "candidate", F.round("score", 6).alias("score"), *_details("score", "cosine", "entity", "edit", "phonetic"), "rank")
+
+
 def m2m_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item against all documents, whole texts rescored."""
     found = Matcher(MatchConfig()).compare_many_to_many(benchmark(spark, sf_dir), documents(spark, sf_dir), TOP, 0.1)
@@ -136,12 +150,15 @@ QUERIES = {
     "hybrid_compare": _hybrid(MatchConfig()),
     "hybrid_explain": _hybrid(MatchConfig.smart(), *SMART),
     "hybrid_short_circuit": hybrid_short_circuit,
+    "hybrid_entities": hybrid_entities,
     "m2m_linear": _many_to_many(MatchConfig(), "score", "cosine", "edit"),
     "m2m_smart": _many_to_many(MatchConfig.smart(), "score", "cosine", "entity", "edit", "phonetic"),
     "m2m_bm25": _many_to_many(MatchConfig(index="bm25"), "score", "cosine", "edit"),
     "m2m_rrf": _many_to_many(MatchConfig(fusion="rrf"), "rank", "cosine", "edit"),
     "m2m_rrf_weighted": _many_to_many(MatchConfig(fusion="rrf", rrf_weights={"cosine": 0.5}), "rank", "cosine", "edit"),
-    "m2m_dense_semantic": _many_to_many(MatchConfig(index="dense", use_embeddings=True, encoder=hashing_encoder), "score", "cosine", "edit", "semantic"),
+    "m2m_dense_semantic": _many_to_many(MatchConfig(index="dense", use_embeddings=True, encoder=letter_encoder), "score", "cosine", "edit", "semantic"),
+    "m2m_semantic_apart": _many_to_many(MatchConfig(index="dense", use_embeddings=True, encoder=letter_encoder, reuse_dense=False), "score", "cosine", "edit", "semantic"),
+    "m2m_entities": m2m_entities,
     "m2m_documents": m2m_documents,
     "compare_batch": compare_batch,
     "dataframe_search": dataframe_search,
@@ -162,12 +179,27 @@ def _on_pairs(form: str) -> str:
 SELECT a0 AS a, b0 AS b, round({sql.ratio("lcs", "fp.a", "fp.b")}, 6) AS score FROM fp JOIN lcs USING (a, b)"""
 
 
+def _partial(s: str, t: str) -> str:
+    """Rows (a0, b0, a, b) of a text and each window of the other of its length, which may hang over the ends."""
+    return f"SELECT a AS a0, b AS b0, {s} AS a, substr({t}, greatest(i, 0) + 1, i + length({s}) - greatest(i, 0)) AS b FROM np, LATERAL (SELECT unnest(range(1 - length({s}), length({t}))) AS i)"
+
+
 _SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
-# Scores of the prepared names: (a0, b0, cosine, edit, phonetic).
-_SCORED = f"""WITH RECURSIVE {_NAMES}, fp AS (SELECT a AS a0, b AS b0, {sql.prepared("a")} AS a, {sql.prepared("b")} AS b FROM np),{sql.common_length("fp")},{sql.pair_cosine("fp")},
+_NUMBERED = "regexp_replace({}, '(\\d+)', '<number:\\1>', 'g')"
+
+
+def _scored(pairs: str, form: str) -> str:
+    """CTEs ending in sc (a0, b0, a, b, cosine, edit, phonetic): scores of a form of both texts of the pairs np."""
+    return f"""WITH RECURSIVE {pairs}, fp AS (SELECT a AS a0, b AS b0, {sql.prepared(form.format("a"))} AS a, {sql.prepared(form.format("b"))} AS b FROM np),{sql.common_length("fp")},{sql.pair_cosine("fp")},
 sp AS (SELECT a AS x, b AS y, {sql.sounds("a")} AS a, {sql.sounds("b")} AS b FROM (SELECT DISTINCT a, b FROM fp)),{sql.common_length("sp", "lcp")},
 ph AS (SELECT x AS a, y AS b, {sql.ratio("lcp", "sp.a", "sp.b")} AS phonetic FROM sp JOIN lcp USING (a, b)),
-sc AS (SELECT a0, b0, cosine, {sql.ratio("lcs", "fp.a", "fp.b")} AS edit, phonetic FROM fp JOIN lcs USING (a, b) JOIN pc USING (a, b) JOIN ph USING (a, b))"""
+sc AS (SELECT a0, b0, a, b, cosine, {sql.ratio("lcs", "fp.a", "fp.b")} AS edit, phonetic FROM fp JOIN lcs USING (a, b) JOIN pc USING (a, b) JOIN ph USING (a, b))"""
+
+
+_SCORED = _scored(_NAMES, "{}")
+# Each of the texts has one number tag at most; the side without more of them must be within the other.
+_TAG = "regexp_extract({}, '<number:([^>]+)>', 1)"
+_WITHIN = f"({_TAG.format('a')} <> '' AND {_TAG.format('b')} <> '' AND contains({_TAG.format('b')}, {_TAG.format('a')}))"
 
 _LABEL = "concat_ws(' ', p_name, p_type, p_brand)"
 _PARTS = f"cands AS (SELECT p_partkey AS pos, {_LABEL} AS candidate, {sql.prepared(_LABEL)} AS p FROM part)"
@@ -180,6 +212,8 @@ _FOUND = f"WITH RECURSIVE {_PARTS}, {_ASKED},{sql.tfidf()}, {sql.topped(TOP, 0.1
 _TAGGED = sql.prepared(f"regexp_replace({_LABEL}, '(\\d+)', '<number:\\1>', 'g')")
 _FOUND_SMART = _FOUND.replace(f"{sql.prepared(_LABEL)} AS p", f"{_TAGGED} AS p")
 _FOUND_BM25 = f"WITH RECURSIVE {_PARTS}, {_ASKED},{sql.bm25(1.2, 0.75)}, normed AS (SELECT query_id, pos, score / max(score) OVER (PARTITION BY query_id) AS score FROM scores), {sql.topped(TOP, 0.1, 'normed')}, {_EDITED}"
+_PARTS_TAGGED = _PARTS.replace(f"{sql.prepared(_LABEL)} AS p", f"{_TAGGED} AS p")
+_FOUND_DENSE = f"WITH RECURSIVE {_PARTS}, {_ASKED},{sql.dense()}, {sql.topped(TOP, 0.1)}, {_EDITED}"
 _SOUNDED = f""", ss AS (SELECT DISTINCT a AS x, b AS y, {sql.sounds("a")} AS a, {sql.sounds("b")} AS b FROM rr),{sql.common_length("ss", "lcp")},
 ep AS (SELECT ed.*, {sql.ratio("lcp", "ss.a", "ss.b")} AS phonetic FROM ed JOIN ss ON ed.a = ss.x AND ed.b = ss.y JOIN lcp ON lcp.a = ss.a AND lcp.b = ss.b)"""
 
@@ -213,6 +247,8 @@ _GOLD = f"{_SCORED}, gold AS (SELECT *, string_split(a0, ' ')[-1] = string_split
 ORACLE = {
     "edit_ratio": _on_pairs("{}"),
     "token_sort_ratio": _on_pairs(_SORTED),
+    "partial_ratio": f"""WITH RECURSIVE {_NAMES}, wp AS ({_partial("a", "b")} WHERE length(a) <= length(b) UNION ALL {_partial("b", "a")} WHERE length(b) <= length(a)),{sql.common_length("wp")}
+SELECT a0 AS a, b0 AS b, round(max({sql.ratio("lcs", "wp.a", "wp.b")}), 6) AS score FROM wp JOIN lcs USING (a, b) GROUP BY a0, b0""",
     "phonetic_sim": _on_pairs(sql.sounds("{}")),
     "pair_cosine": f"WITH {_NAMES},{sql.pair_cosine('np')} SELECT a, b, round(cosine, 6) AS score FROM pc",
     "entity_overlap": "SELECT p_partkey, CASE WHEN contains(CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR)) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM part",
@@ -221,6 +257,15 @@ ORACLE = {
   round(cosine, 6) AS cosine, round(edit, 6) AS edit, round(phonetic, 6) AS phonetic, CAST(0.0 AS DOUBLE) AS entity FROM sc""",
     "hybrid_short_circuit": f"""WITH RECURSIVE tg AS (SELECT p_partkey, '<size:' || p_size || '>' AS a, '<key:' || p_partkey || '>' AS b, contains(CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR)) AS short_circuit FROM part),{sql.common_length("tg")}
 SELECT p_partkey, round(CASE WHEN short_circuit THEN 0.95 ELSE 0.75 * {sql.ratio("lcs", "tg.a", "tg.b")} END, 6) AS score, short_circuit FROM tg JOIN lcs USING (a, b)""",
+    "hybrid_entities": f"""{_scored("np AS (SELECT DISTINCT 'pacote ' || p_size || ' ' || p_name AS a, concat_ws(' ', p_brand, p_name) AS b FROM part)", _NUMBERED)}
+SELECT a0 AS a, b0 AS b, round(CASE WHEN full_ THEN 0.95 ELSE 0.45 * cosine + 0.25 * edit + 0.2 * phonetic END, 6) AS score, CASE WHEN NOT full_ THEN round(cosine, 6) END AS cosine,
+  CASE WHEN NOT full_ THEN round(edit, 6) END AS edit, CASE WHEN NOT full_ THEN round(phonetic, 6) END AS phonetic, CAST(full_ AS DOUBLE) AS entity, full_ AS short_circuit FROM (SELECT *, {_WITHIN} AS full_ FROM sc)""",
+    "m2m_entities": f"""WITH RECURSIVE {_PARTS_TAGGED}, qs AS (SELECT min(p_partkey) AS query_id, p_brand || ' ' || min(p_name) AS query, {sql.prepared(_NUMBERED.format("p_brand || ' ' || min(p_name)"))} AS p FROM part GROUP BY p_brand),
+{sql.tfidf()}, {sql.topped(3 * TOP, 0.1)}, {_EDITED}{_SOUNDED} SELECT query_id, pos, candidate, round(total, 6) AS score, CASE WHEN NOT full_ THEN round(score, 6) END AS cosine, CAST(full_ AS DOUBLE) AS entity,
+  CASE WHEN NOT full_ THEN round(edit, 6) END AS edit, CASE WHEN NOT full_ THEN round(phonetic, 6) END AS phonetic, {_by_score('total')} AS rank
+  FROM (SELECT *, CASE WHEN full_ THEN 0.95 ELSE 0.45 * score + 0.25 * edit + 0.2 * phonetic END AS total FROM (SELECT *, {_WITHIN} AS full_ FROM ep))""",
+    "m2m_dense_semantic": _FOUND_DENSE + _linear("ed", "0.7 * score + 0.3 * edit", "round(score, 6) AS cosine, round(edit, 6) AS edit, round(score, 6) AS semantic"),
+    "m2m_semantic_apart": _FOUND_DENSE + _linear("ed", "0.7 * score + 0.3 * edit", "round(score, 6) AS cosine, round(edit, 6) AS edit, round(score, 6) AS semantic"),
     "m2m_linear": _FOUND + _linear("ed", "0.5 * score + 0.5 * edit", "round(score, 6) AS cosine, round(edit, 6) AS edit"),
     "m2m_smart": _FOUND_SMART + _SOUNDED + _linear("ep", "0.45 * score + 0.25 * edit + 0.2 * phonetic", "round(score, 6) AS cosine, CAST(0.0 AS DOUBLE) AS entity, round(edit, 6) AS edit, round(phonetic, 6) AS phonetic"),
     "m2m_bm25": _FOUND_BM25 + _linear("ed", "0.5 * score + 0.5 * edit", "round(score, 6) AS cosine, round(edit, 6) AS edit"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.encoders import hashing_encoder
+from ..functions.encoders import letter_encoder
 from ..functions.text import terms
 from ..operators import index
 from ..operators.matcher import Matcher
@@ -75,7 +75,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_encoder_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense retrieval through a plugged-in encoder."""
-    return _ranked(spark, sf_dir, MatchConfig(index="dense", encoder=hashing_encoder), TOP, 0.0)
+    return _ranked(spark, sf_dir, MatchConfig(index="dense", encoder=letter_encoder), TOP, 0.0)
 
 
 def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +121,5 @@ ORACLE = {
 scores AS (SELECT a.vec_id AS query_id, b.vec_id AS pos, greatest(0.0, least(1.0, list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])))) AS score FROM u a, u b),
 {sql.topped(TOP, 0.0)} SELECT query_id, pos AS vec_id, round(score, 5) AS score, rank FROM best""",
 }
+ORACLE["dense_encoder_topk"] = f"{_BOTH},{sql.dense()}, {sql.topped(TOP, 0.0)} {_BEST}"
 ORACLE["stream_matches"] = ORACLE["tfidf_topk"]

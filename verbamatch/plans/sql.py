@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from ..functions.text import _SOUNDS, STOPWORDS, contractions
-
+# Written out here, so that a wrong entry in the functions shows.
+CONTRACTED = "do=de o,da=de a,dos=de os,das=de as,no=em o,na=em a,nos=em os,nas=em as,pelo=por o,pela=por a,pelos=por os,pelas=por as,num=em um,numa=em uma,nums=em uns,numas=em umas,ao=a o,aos=a os,à=a a,às=a as"
+STOPPED = """a ao aos aquela aquelas aquele aqueles aquilo as ate com como da das de dela delas dele deles depois do dos e ela elas ele eles em entre era eramos eram essa essas esse esses esta estas
+estavam estavamos este esteja estejam estejamos estes esteve estive estivemos estiver estivera estiveram estiveramos estiverem estivermos estivesse estivessem estivessemos estou eu foi fomos for fora foram
+foramos forem formos fosse fossem fossemos fui ha haja hajam hajamos hao havemos hei houve houvemos houver houvera houveram houveramos houverem houvermos houvesse houvessem houvessemos isso isto ja lhe lhes
+mais mas me mesmo meu meus minha minhas muito na nao nas nem no nos nossa nossas nosso nossos num numa o os ou para pela pelas pelo pelos por qual quando que quem sao se seja sejam sejamos sem serei
+seremos seria seriam seriamos seu seus so somos sou sua suas tambem te tem temos tenha tenham tenhamos tenho tera terao terei teremos teria teriam teriamos teu teus teve tinha tinham tinhamos tive tivemos
+tiver tivera tiveram tiveramos tiverem tivermos tivesse tivessem tivessemos tu tua tuas um uma voce voces vos"""
+SOUNDS = "ss=s,rr=r,ll=l,ce=se,ci=si,ch=x,qu=k,ge=je,gi=ji,lh=l,nh=n"
 CONTROL = r"'\\r\\n|\\rn|\\r|\\n|\\t|\r\n|\r|\n|\t'"
 
 
 def expanded(x: str) -> str:
     out = f"(' ' || {x} || ' ')"
-    for short, full in contractions():
+    for short, full in (x.split("=") for x in CONTRACTED.split(",")):
         out = f"replace({out}, ' {short} ', ' {full} ')"
     return f"trim({out})"
 
@@ -29,7 +36,7 @@ def tokens(x: str) -> str:
 
 
 def kept_tokens(x: str) -> str:
-    words = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+    words = ", ".join(f"'{w}'" for w in STOPPED.split())
     return f"list_filter({x}, lambda t: t NOT IN ({words}) OR starts_with(t, '<'))"
 
 
@@ -43,7 +50,7 @@ def single_spaced(x: str) -> str:
 
 def sounds(x: str) -> str:
     out = f"lower({folded(x)})"
-    for pair, sound in _SOUNDS:
+    for pair, sound in (x.split("=") for x in SOUNDS.split(",")):
         out = f"replace({out}, '{pair}', '{sound.upper()}')"
     return f"regexp_replace(lower(replace(replace({out}, 'c', 'k'), 'h', '')), 'm( |$)', 'n\\1', 'g')"
 
@@ -110,3 +117,21 @@ pk AS (SELECT row_number() OVER () AS k, a, b FROM (SELECT DISTINCT a, b FROM {p
 pf AS (SELECT k, coalesce(pa.tf, 0) AS x, coalesce(pb.tf, 0) AS y, CASE WHEN pa.tf IS NULL OR pb.tf IS NULL THEN 1 + ln(1.5) ELSE 1.0 END AS idf FROM pa FULL JOIN pb USING (k, term)),
 pg AS (SELECT k, sum(x * y * idf * idf) AS d, sqrt(sum(x * x * idf * idf)) AS u, sqrt(sum(y * y * idf * idf)) AS v FROM pf GROUP BY k),
 pc AS (SELECT a, b, coalesce(CASE WHEN u > 0 AND v > 0 THEN d / (u * v) END, 0.0) AS cosine FROM pk LEFT JOIN pg USING (k))"""
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_vectors(source: str, key: str, name: str) -> str:
+    """CTEs ending in `name` (key, v): unit vectors of the counts of LETTERS in the prepared texts p of a source."""
+    counted = f"list_transform(string_split('{LETTERS}', ''), lambda c: CAST(length(p) - length(replace(p, c, '')) AS DOUBLE))"
+    return f"""
+{name}_c AS (SELECT {key}, {counted} AS c FROM {source}),
+{name}_n AS (SELECT {key}, c, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-10) AS n FROM {name}_c),
+{name} AS (SELECT {key}, list_transform(c, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE)) AS v FROM {name}_n)"""
+
+
+def dense(cands: str = "cands", queries: str = "qs") -> str:
+    """CTEs ending in `scores` (query_id, pos, score): clipped inner products of letter vectors."""
+    return f"""{letter_vectors(cands, "pos", "cv")},{letter_vectors(queries, "query_id", "qw")},
+scores AS (SELECT query_id, pos, greatest(0.0, least(1.0, list_dot_product(qw.v, cv.v))) AS score FROM qw, cv)"""

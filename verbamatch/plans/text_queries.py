@@ -14,7 +14,7 @@ from ..functions import entities, text
 from ..operators.pipeline import prepared
 from ..sources.catalog import preprocess_catalog
 from ..sources.shared import scratch
-from ..sources.tables import documents, table
+from ..sources.tables import documents, spread, table
 from . import sql
 
 AS_OF = date(2024, 4, 25)
@@ -31,14 +31,14 @@ SAMPLES = [
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
 
 
 TEXTS = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SAMPLES) + ") AS v(doc_id, text))"
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.prepare(F.col("text")).alias("prepared"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.prepare(F.col("text")).alias("prepared"))
 
 
 def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def text_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phonetic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.phonetic(F.col("text")).alias("sounds"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.phonetic(F.col("text")).alias("sounds"))
 
 
 def dedup_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,13 +159,48 @@ def _values(kind: str, matches: str, value: str) -> str:
 
 
 _FLOAT = "CAST(CAST(replace({x}, ',', '.') AS DOUBLE) AS VARCHAR)"
-_WORDS = " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in entities.NUMBER_WORDS.items())
+_WORDS = " ".join(f"WHEN '{w}' THEN '{n}'" for n, ws in ((0, "zero"), (1, "um uma"), (2, "dois duas"), (3, "três tres"), (4, "quatro"), (5, "cinco"), (6, "seis"), (7, "sete"), (8, "oito"), (9, "nove"), (10, "dez"), (100, "cem"), (1000, "mil")) for w in ws.split())
 _MONTHS = "lower(m)"
-for _month, _n in entities._MONTHS.items():
+for _month, _n in (("janeiro", 1), ("fevereiro", 2), ("março", 3), ("marco", 3), ("abril", 4), ("maio", 5), ("junho", 6), ("julho", 7), ("agosto", 8), ("setembro", 9), ("outubro", 10), ("novembro", 11), ("dezembro", 12)):
     _MONTHS = f"replace({_MONTHS}, '{_month}', '{_n:02d}')"
 _YMD = " , ".join(f"try_strptime(regexp_replace({_MONTHS}, '\\s+de\\s+|-', '/', 'g'), '{p}')" for p in ("%d/%m/%Y", "%m/%d/%Y", "%d/%m/%y", "%m/%d/%y"))
 _DATE = f"""CASE lower(m) WHEN 'hoje' THEN '2024-04-25' WHEN 'ontem' THEN '2024-04-24' WHEN 'amanhã' THEN '2024-04-26' ELSE strftime(coalesce({_YMD}), '%Y-%m-%d') END"""
 
+_MONEY_VALUE = r"CAST(TRY_CAST(CASE WHEN contains(regexp_extract(m, '[\d.,]+'), ',') THEN replace(replace(regexp_extract(m, '[\d.,]+'), '.', ''), ',', '.') ELSE regexp_extract(m, '[\d.,]+') END AS DOUBLE) AS VARCHAR)"
+_NUMBER_VALUE = rf"CASE WHEN regexp_matches(m, '^\d') THEN regexp_replace({_FLOAT.format(x='m')}, '\.0$', '') ELSE CASE lower(m) {_WORDS} END END".replace("CAST(replace(m", "TRY_CAST(replace(m")
+_SIZE_VALUE = _FLOAT.format(x=r"regexp_extract(m, '[\d.,]+')") + r" || ':' || lower(regexp_extract(m, '[A-Za-z]+'))"
+# (place in ENTITIES, type, whether on the masked text, pattern, value of a match m)
+_PATTERNS = [
+    (0, "date", False, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", _DATE),
+    (0, "date", False, r"(?i)\b\d{1,2}\s+de\s+[A-Za-zçÇ]+\s+de\s+\d{2,4}\b", _DATE),
+    (0, "date", False, r"(?i)\b(?:amanhã|ontem|hoje)", _DATE),
+    (1, "dimension", False, r"(?i)\d+(?:[.,]\d+)?\s*(?:kg|g|mg|m|cm|mm|l|ml)\b", _SIZE_VALUE),
+    (2, "money", False, r"(?i)(?:R\$|BRL)\s*[\d.,]+|[\d.,]+\s+(?:reais|centavos|BRL)", _MONEY_VALUE),
+    (3, "number", True, r"\b\d+(?:[.,]\d+)?\b", _NUMBER_VALUE),
+    (3, "number", True, r"\b[a-zA-ZçÇêÊ]+\b", _NUMBER_VALUE),
+    (4, "productmodel", True, r"\b(?:[A-Za-z]+-?\d+[A-Za-z\d]*|\d+-?[A-Za-z]+[A-Za-z\d]*)\b", "upper(m)"),
+]
+
+
+def _spans(texts: str) -> str:
+    """CTEs tx (doc_id, text) and sp (doc_id, rank, entity_type, value, start, stop): places follow from the lengths of matches and of what is between them."""
+    parts = []
+    for rank, kind, masked, pattern, value in _PATTERNS:
+        x = MASKED if masked else "text"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS entity_type, {value} AS value, start, start + length(m) AS stop FROM (
+  SELECT doc_id, ms[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS INTEGER) AS start
+  FROM (SELECT doc_id, string_split_regex({x}, '{pattern}') AS gaps, regexp_extract_all({x}, '{pattern}') AS ms FROM tx), LATERAL (SELECT unnest(generate_series(1, len(ms))) AS i))""")
+    return f"WITH tx AS ({texts}), sa AS ({' UNION ALL '.join(parts)}), sp AS (SELECT * FROM sa WHERE value IS NOT NULL)"
+
+
+_COLLAPSED = rf"SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])([A-Za-z]{{2,4}})\s+([A-Za-z]*\d[A-Za-z\d]*(?:-[A-Za-z\d]+)*)\b', '\1\2\3', 'g') AS text FROM {TEXTS}"
+# Tags in place of matches, of overlapping ones the first: a fold over the matches in order.
+_TAGGED = f"""{_spans(_COLLAPSED)},
+li AS (SELECT doc_id, list({{'out': '<' || entity_type || ':' || value || '>', 'at': start, 'stop': CAST(stop AS INTEGER)}} ORDER BY start, rank) AS es FROM sp GROUP BY doc_id),
+fo AS (SELECT tx.doc_id, text, CASE WHEN es IS NULL THEN {{'out': '', 'at': 0, 'stop': 0}} ELSE list_reduce(es, lambda a, e: CASE WHEN e.at < a.stop THEN a ELSE
+  {{'out': a.out || substr(text, a.stop + 1, e.at - a.stop) || e.out, 'at': e.at, 'stop': e.stop}} END, {{'out': '', 'at': 0, 'stop': 0}}) END AS f FROM tx LEFT JOIN li ON li.doc_id = tx.doc_id),
+tg AS (SELECT doc_id, f.out || substr(text, f.stop + 1) AS tagged FROM fo)"""
+
 ORACLE = {
     "clean_text": f"SELECT doc_id, {sql.cleaned('text')} AS cleaned FROM documents",
     "tokenize": f"SELECT doc_id, array_to_string(t, ' ') AS tokens, len(t) AS n FROM (SELECT doc_id, {sql.tokens(sql.cleaned('text'))} AS t FROM documents)",
@@ -193,5 +228,8 @@ ORACLE = {
         rf"CASE WHEN regexp_matches(m, '^\d') THEN regexp_replace({_FLOAT.format(x=chr(109))}, '\.0$', '') ELSE CASE lower(m) {_WORDS} END END".replace("CAST(replace(m", "TRY_CAST(replace(m"),
     ),
     "extract_product_model": _values("productmodel", rf"regexp_extract_all({MASKED}, '\b(?:[A-Za-z]+-?\d+[A-Za-z\d]*|\d+-?[A-Za-z]+[A-Za-z\d]*)\b')", "upper(m)"),
+    "entity_spans": f"""{_spans(f"SELECT * FROM {TEXTS}")} SELECT doc_id, entity_type, value, start, CAST(stop AS INTEGER) AS "end", substr(text, start + 1, stop - start) AS text_matched FROM sp JOIN tx USING (doc_id)""",
+    "normalize_entities": f"{_TAGGED} SELECT doc_id, tagged FROM tg",
+    "preprocess_smart": f"{_TAGGED} SELECT doc_id, {sql.prepared('tagged')} AS prepared FROM tg",
     "custom_extractor": _values("handle", "regexp_extract_all(text, '[@#][A-Za-z0-9_]+')", "substr(m, 2)"),
 }
