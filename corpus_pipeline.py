@@ -2,15 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept.
 `run` writes each stage's result as Parquet to the shared folder and rereads it, so a
-lost executor costs tasks, not stages.  Null ids, empty and long texts, repeated rows
-and extra columns behave as the operators' docstrings say.
+lost executor costs tasks, not stages; what a stage wrote for itself is deleted once its
+result is there.  Nulls in any column, empty and long texts, ties, repeated rows and extra
+columns of any name behave as the operators' docstrings say; empty tables give no
+pieces.  The last stage gives token ids: `packing.sequences` puts them together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbamatch.llm._spark import materialise, table
+from verbamatch.llm._spark import discard, made, materialise, sweep, table
 from verbamatch.llm.decontaminate import drop_leaks
 from verbamatch.llm.line_dedup import drop_lines
 from verbamatch.llm.near_dedup import keep_first
@@ -51,12 +53,17 @@ STAGES = [
     ("packing", packing),
 ]
 
-# The fitted lexicon, binomial cutoffs and Hilbert keys have no SQL form; tests compare with a brute-force version.
+# The fitted lexicon, binomial cutoffs, token ids and Hilbert keys have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = last = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = made()
+        docs = materialise(stage(spark, last, sf_dir), name.replace(" ", "-"))
+        sweep(docs, before)
+        if name != STAGES[0][0]:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

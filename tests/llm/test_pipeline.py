@@ -6,14 +6,15 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from verbamatch import llm
-from verbamatch.llm import packing, quality
+from verbamatch.llm import packing
 from verbamatch.llm._spark import table
 
-from .test_operators import distance, hashed, naive_pack, naive_words, prose
+from .test_operators import distance, hashed, naive_pack, naive_quality, naive_words, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,12 +41,13 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def brute(spark, sf_dir):
-    """All stages in plain Python; the fitted lexicon and cutoffs are the operator's, checked in its own tests."""
+    """All stages in plain Python."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = quality.scores(docs, quality.fit_lexicon(docs, labels))
-    cutoffs = quality.calibrate(scored, labels)
-    bad = {r.doc_id for r in scored.collect() for rule, c in cutoffs.get(r.stratum, {}).items() if r[rule] > c}
-    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in bad}
+    fold = {r.doc_id: r.f for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).alias("f")).collect()}
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    good, _ = naive_quality(rows, {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}, fold)
+    kept = {r[0] for r in good}
+    texts = {d: t for d, t, _ in rows if d in kept}
 
     seen, near, out = set(), [], {}
     for d in sorted(texts):

@@ -1,4 +1,9 @@
-"""Operators for preparing language-model training corpora. Nothing else in the library imports this subpackage."""
+"""Operators for preparing language-model training corpora. Nothing else in the library imports this subpackage.
+
+Tables of documents have `doc_id`, of any integer type (64 bits whole, may be null), and
+`text`; others of their columns may have any name and type, and any letter case or dots.
+Another type of doc_id is cast to one, and where that fails Spark's cast error is raised.
+"""
 
 from __future__ import annotations
 

@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-FILTER_BITS = 1 << 26
+from ..sources.shared import shared_dir
+
+FILTER_BITS = 1 << 25
 NODE = "struct<no:int,id:bigint,h:bigint>"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode (tests), and an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="verbamatch-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+_made: list[DataFrame] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +25,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    _made.append(out)
     return out
 
 
@@ -44,6 +35,16 @@ def discard(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made[:] = [x for x in _made if x is not t]
+
+
+def sweep(kept: DataFrame, before: int) -> None:
+    """Delete what has been materialised since there were `before` tables, but `kept`, which has everything that is still needed."""
+    discard(*(x for x in _made[before:] if x is not kept))
+
+
+def made() -> int:
+    return len(_made)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -59,6 +60,11 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """mapInArrow over columns of any name: it looks them up by name, which fails on dots, so they go in numbered."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,7 +86,7 @@ def as_id(column: str) -> Column:
 def marked(df: DataFrame, columns: list[str], wanted: DataFrame, name: str) -> DataFrame:
     """df with a column `name`: true for every row whose `columns` are those of a row of `wanted`, and for few others.
 
-    A bitmap with about 16 bits for each wanted key, of FILTER_BITS bits (8 MB) at most,
+    A bitmap with about 16 bits for each wanted key, of FILTER_BITS bits (4 MB) at most,
     is made by an aggregation and broadcast.  Its size is bounded whatever the data; where
     there are more keys than it can tell apart it marks more rows, never fewer.  `wanted`
     is read twice, so it should be materialised.

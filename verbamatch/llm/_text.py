@@ -3,9 +3,10 @@
 All kernels work on the raw UTF-8 buffers of Arrow string columns, so no Python
 string is made per row.  A *word* is a maximal run of ASCII letters and digits and
 of non-ASCII characters; ASCII punctuation, white space, U+0080-U+00BF and
-U+2000-U+203F separate words.  Case is folded for ASCII and Latin-1, which keeps
-the byte length, so word positions are byte positions of the source.  The same
-rule in SQL is ``WORD_SQL`` applied to ``lower(text)``.
+U+2000-U+203F separate words.  Case is folded for ASCII and for letters of two bytes whose
+lower case has two bytes too (Latin, Greek, Cyrillic, Armenian), which keeps the byte
+length, so word positions are byte positions of the source.  For texts in these scripts
+the same rule in SQL is ``WORD_SQL`` applied to ``lower(text)``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 WORD_SQL = r"[a-z0-9\x{C0}-\x{1FFF}\x{2040}-\x{10FFFF}]+"
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _LUT = np.zeros(256, np.uint8)
 for _b in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -28,6 +29,13 @@ for _b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _LUT[_b] = _b + 32
 _LUT[0x80:] = np.arange(0x80, 0x100, dtype=np.uint8)
 
+# Lower case of code points of two bytes, where it has two bytes as well.
+_LOWER = np.arange(0x800, dtype=np.uint16)
+for _c in range(0x100, 0x800):
+    _l = chr(_c).lower()
+    if len(_l) == 1 and 0x80 <= ord(_l) < 0x800:
+        _LOWER[_c] = ord(_l)
+
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
@@ -104,6 +112,11 @@ def fold(raw: np.ndarray) -> np.ndarray:
             f[i] = 0
             f[i + 1] = 0
             f[i + 2] = 0
+    i = np.flatnonzero((f >= 0xC4) & (f < 0xE0))
+    if len(i):
+        low = _LOWER[(f[i].astype(np.uint16) & 0x1F) << 6 | f[i + 1] & 0x3F]
+        f[i] = 0xC0 | low >> 6
+        f[i + 1] = 0x80 | low & 0x3F
     return f
 
 

@@ -30,12 +30,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, own_columns, table
+from ._spark import fresh, mapped, own_columns, table
 from ._text import U64, WORD_SQL, chunks, fold, mix, normal_text, strings, words
 
 NGRAM = 13
 BLOCK = 8
-SEGMENT = 2048
+SEGMENT = 512
 BLOCK_BYTES = 256 << 20
 PATTERN_BYTES = 64 << 20
 
@@ -222,7 +222,7 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, ngram: int = NGRAM, max_patter
                 kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
                 yield kept.filter(pa.array(~bad))
 
-        return rows.select(*own_columns(rows), F.col("text").cast("string").alias(text)).mapInArrow(run, docs.schema)
+        return mapped(rows.select(*own_columns(rows), F.col("text").cast("string").alias(text)), run, docs.schema)
 
     return reduce(search, blocks(bench, ngram), docs)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import NODE, as_id, discard, fresh, likely, marked, materialise, node, own_columns, table
+from ._spark import NODE, as_id, discard, fresh, likely, mapped, marked, materialise, node, own_columns, table
 from ._text import U64, chunks, mix, powers
 
 MAX_EDITS = 1
@@ -228,7 +228,7 @@ def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
                 cols[i] = pa.array(s, cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return whole.union(wide.mapInArrow(run, docs.schema))
+    return whole.union(mapped(wide, run, docs.schema))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,12 @@ So a stratum with too few labels to certify anything loses no document.
 ``MAX_TRAIN`` bounds the labelled rows that the lexicon is fitted on (a hash sample);
 scores, counts, thresholds and decisions cover all rows.
 
-Defined results: a null or empty text scores 0 everywhere and is kept; a null lang is
-a stratum of its own (''); labels with a null in doc_id, quality or toxic are left
-out; a document labelled twice counts by its worst labels; repeated rows are judged
-alike; empty tables give empty results; without labels everything is kept.
+Defined results: a null or empty text scores 0 everywhere and is kept; texts of any
+length are scored whole; a null lang is a stratum of its own (''); labels with a null in
+doc_id, quality or toxic are left out; a document labelled twice counts by its worst
+labels; repeated rows are judged alike; of cutoffs with equal balance (ties) the middle one
+is taken; empty tables give empty results; without labels everything is kept; extra
+columns of any name are carried along and not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, materialise, table
+from ._spark import fresh, mapped, materialise, own_columns, table
 from ._text import U64, Words, chunks, segment_sum, words
 
 ALPHA = 0.05
@@ -260,8 +262,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
                         bad |= (own == name) & (s[:, j] > rules[rule])
             yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(~bad))
 
-    wide = docs.withColumn(text, F.col("text").cast("string")).withColumn(layer, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    return wide.mapInArrow(run, docs.schema)
+    wide = docs.select(*own_columns(docs), F.col("text").cast("string").alias(text), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(layer))
+    return mapped(wide, run, docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

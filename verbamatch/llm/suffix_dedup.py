@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import NODE, as_id, fresh, likely, marked, materialise, node, own_columns, table
+from ._spark import NODE, as_id, fresh, likely, mapped, marked, materialise, node, own_columns, table
 from ._text import U64, WORD_SQL, chunks, mix, words
 from ._windows import HOT, ROW, SPAN, groups, matrix, merged, repeated_windows
 
@@ -202,7 +202,7 @@ def drop_copies(docs: DataFrame, slice_rows: int = SLICE, hot: int = HOT) -> Dat
                 cols[i] = pa.array(s, cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    return whole.union(wide.mapInArrow(run, docs.schema))
+    return whole.union(mapped(wide, run, docs.schema))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def pretokens(code: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Tokenizer:
     """Ids of texts, with a memory of pre-tokens: a table by hash with places in a pool of ids."""
 
-    SLOTS = 21
+    SLOTS = 20
     POOL = 1 << 22
 
     def __init__(self, path: str):
