@@ -175,11 +175,19 @@ class Lookup:
         return self.values[at]
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, grp): groups of about GROUP_BYTES of text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text, grp) of the documents that have a text: groups of about GROUP_BYTES of it.
+
+    Rows without id may be equal in great numbers, so their place in the input spreads them.
+    """
+    own = plain(docs).filter(F.octet_length("text") > 0)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // GROUP_BYTES)).cast("int"))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", place), F.lit(1 + size // GROUP_BYTES)).cast("int"))
 
 
 def group_runs(own: DataFrame, depth: int) -> DataFrame:
@@ -242,7 +250,9 @@ def score_corpus(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT
         rate = pa.array(np.round(-t / np.maximum(n, 1), 6), mask=n == 0)
         return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": n, "log2_prob": np.round(t, 3) + 0.0, "bits_per_byte": rate})
 
-    return own.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(add, "doc_id long, n_bytes long, log2_prob double, bits_per_byte double")
+    scored = own.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(add, "doc_id long, n_bytes long, log2_prob double, bits_per_byte double")
+    blank = plain(docs).filter("text IS NULL OR text = ''")
+    return scored.union(blank.select("doc_id", F.lit(0).cast("long"), F.lit(0.0), F.lit(None).cast("double")))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
