@@ -11,6 +11,8 @@ the same rule in SQL is ``WORD_SQL`` applied to ``lower(text)``.
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -82,6 +84,20 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_trimmed = 0.0
+
+
+def release() -> None:
+    """Give freed memory back to the system, every half second at most: the C library keeps what the kernels' arrays took, in each worker."""
+    global _trimmed
+    if time.monotonic() - _trimmed > 0.5:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+        _trimmed = time.monotonic()
+
+
 def chunks(column: pa.Array, target: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges (lo, hi, bytes, offsets) of about `target` bytes; a longer text is one range of its own."""
     raw, offs = strings(column)
@@ -91,6 +107,7 @@ def chunks(column: pa.Array, target: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         hi = min(n, max(hi, lo + 1))
         yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    release()
 
 
 def fold(raw: np.ndarray) -> np.ndarray:
