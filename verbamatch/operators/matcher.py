@@ -110,7 +110,7 @@ class Matcher:
         if c.strict:
             refuse_nulls(candidates, "candidate")
         own = prepared(candidates.select("pos", "candidate").filter(F.col("candidate").isNotNull()), "candidate", "p_candidate", c, preprocess, as_of=self.as_of)
-        if preprocess:
+        if preprocess and not self._plain:
             own = settled(own, "prepared")
         if c.index == "bm25":
             return own, index.fit_bm25(own, c.bm25_k1, c.bm25_b)
@@ -118,17 +118,28 @@ class Matcher:
             return own, index.fit_dense(own, c.encoder)
         return own, index.fit_tfidf(own)
 
+    @property
+    def _plain(self) -> bool:
+        """Preparation is all in the JVM; where it isn't, each text goes through plug-ins once and is written."""
+        return self.config.mode == "basic" and self.config.lemmatizer is None
+
+    def matched(self, best: DataFrame, own: DataFrame, preprocess: bool = True) -> DataFrame:
+        """best with `candidate` and `p_candidate`; of candidates that were not written prepared, only these few are prepared again."""
+        if not preprocess or not self._plain:
+            return best.join(own.select("pos", "candidate", "p_candidate"), "pos")
+        return prepared(best.join(own.select("pos", "candidate"), "pos"), "candidate", "p_candidate", self.config)
+
     def retrieve(self, queries: DataFrame, own: DataFrame, fitted: index.Index, top_n: int, min_cosine: float) -> DataFrame:
         """(query_id, pos, score, rank) of prepared queries."""
         if fitted.kind == "bm25":
-            scores = index.score_bm25(fitted, queries)
+            scores = index.score_bm25(fitted, queries, best=top_n)
         elif fitted.kind == "dense":
             return index.top(index.score_dense(fitted, queries, self.config.encoder, best=top_n), top_n, min_cosine)
         else:
-            scores = index.score_tfidf(fitted, queries)
+            scores = index.score_tfidf(fitted, queries, top_n)
         if min_cosine <= 0 and fitted.kind == "tfidf":
             # A collection without a single term has no index, so nothing to fill up with.
-            own = own.join(F.broadcast(fitted.idf.select(F.lit(True).alias("_any")).limit(1)))
+            own = own.select("pos").join(F.broadcast(fitted.postings.filter("norm > 0").select(F.lit(True).alias("_any")).limit(1)))
         return index.top(scores, top_n, min_cosine, own, queries)
 
     def compare_many_to_many(self, queries: DataFrame, candidates: DataFrame, top_n: int = 50, min_cosine: float = 0.1, strategy: str = "vectorized", n_workers: int | None = None, preprocess: bool = True) -> DataFrame:
@@ -146,7 +157,7 @@ class Matcher:
             asked = settled(asked, "queries")
         own, fitted = self.fit(candidates, preprocess)
         best = self.retrieve(asked, own, fitted, top_n, min_cosine).select("query_id", "pos", F.col("score").alias("cos_score"), F.col("rank").alias("cos_rank"))
-        rows = best.join(own.select("pos", "candidate", "p_candidate"), "pos").join(asked.select("query_id", "query", "p_query"), "query_id")
+        rows = self.matched(settled(best, "best"), own, preprocess).join(asked.select("query_id", "query", "p_query"), "query_id")
         out = self.rescore(rows)
         return out.join(asked.select("query_id", "query"), "query_id").select("query_id", "query", "pos", "candidate", "score", "details", "rank")
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.matcher import Matcher
 from ..operators.pipeline import prepared
+from ..sources.shared import settled
 
 
 def prepare_stream(queries: DataFrame, matcher: Matcher) -> DataFrame:
@@ -22,12 +23,13 @@ def prepare_stream(queries: DataFrame, matcher: Matcher) -> DataFrame:
 def match_stream(queries: DataFrame, candidates: DataFrame, matcher: Matcher, path: str, top_n: int = 50, min_cosine: float = 0.1) -> DataStreamWriter:
     """Writer that appends each micro-batch's matches to Parquet at `path`, once per batch id."""
     own, fitted = matcher.fit(candidates)
-    own, fitted = matcher.keep(own), fitted._replace(**{k: matcher.keep(v) for k, v in fitted._asdict().items() if isinstance(v, DataFrame)})
+    if fitted.kind == "dense":  # the others are written
+        fitted = fitted._replace(postings=matcher.keep(fitted.postings))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         asked = prepared(batch, "query", "p_query", matcher.config, as_of=matcher.as_of)
         best = matcher.retrieve(asked, own, fitted, top_n, min_cosine).select("query_id", "pos", F.col("score").alias("cos_score"), F.col("rank").alias("cos_rank"))
-        rows = best.join(own, "pos").join(asked, "query_id")
+        rows = matcher.matched(settled(best, "best"), own).join(asked, "query_id")
         # Overwriting the batch's own folder makes a repeated batch harmless.
         matcher.rescore(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
