@@ -24,8 +24,8 @@ def normalised(weights: dict[str, float] | None) -> dict[str, float]:
 class MatchConfig:
     """How texts are prepared, retrieved, scored and fused.
 
-    `encoder` turns a list of texts into a list of vectors; it is called once per Arrow
-    batch on the executors (see functions.encoders).  `algorithm` (a callable of two prepared
+    `encoder` turns a list of texts into a list of vectors; it is called for some
+    hundred texts at a time on the executors (see functions.encoders).  `algorithm` (a callable of two prepared
     texts, or an object with `compare`) replaces the weighted hybrid; rank fusion has no
     rankings then and gives nothing.  `strict` raises on null texts instead of leaving them.
     """
