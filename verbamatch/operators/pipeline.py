@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..errors import StageConfigError, StageProcessingError
-from ..functions import entities, text
+from ..functions import bulk, entities, text
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -111,8 +111,10 @@ def prepared(df: DataFrame, source: str, target: str, config: MatchConfig, prepr
         refuse_nulls(df, source)
     if not preprocess:
         return df.withColumn(target, F.col(source))
+    if config.mode == "basic" and config.lemmatizer is None:
+        return df.withColumn(target, bulk.prepare(F.col(source).cast("string")))
     run = pipeline_for(config, as_of)
-    if not once or (config.mode == "basic" and config.lemmatizer is None):
+    if not once:
         return run.process(df.withColumn(target, F.col(source)), target)
     distinct = run.process(df.select(F.col(source).alias("_raw")).distinct().withColumn("_done", F.col("_raw")), "_done")
     joined = df.join(distinct, df[source].eqNullSafe(distinct["_raw"]), "left")
