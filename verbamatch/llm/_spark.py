@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, small_batches
 
 FILTER_BITS = 1 << 25
 NODE = "struct<no:int,id:bigint,h:bigint>"
@@ -21,6 +21,7 @@ _made: list[DataFrame] = []
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -66,6 +67,7 @@ def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
