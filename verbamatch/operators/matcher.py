@@ -120,7 +120,7 @@ class Matcher:
 
     @property
     def _plain(self) -> bool:
-        """Preparation is all in the JVM; where it isn't, each text goes through plug-ins once and is written."""
+        """Preparation is basic and cheap to repeat; where it isn't, each text goes through plug-ins once and is written."""
         return self.config.mode == "basic" and self.config.lemmatizer is None
 
     def matched(self, best: DataFrame, own: DataFrame, preprocess: bool = True) -> DataFrame:
